@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from windrow.functions.num import clip
 from windrow.params import FarmParams
@@ -74,10 +74,11 @@ def energy_from_series(df: DataFrame, grid: DataFrame, interval_h: float, keys=(
             .agg((F.sum(F.col("_p") * interval_h) / 1000.0).alias("energy_mwh")))
 
 
-def expected_energy(df: DataFrame, p: FarmParams):
-    """Density-scaled expected power (ratio held within 0.5..1.15) and its energy."""
+def expected_power(p: FarmParams) -> Column:
+    """Expected power scaled by the density ratio, held within 0.5..1.15.
+
+    Without a temperature column the correction must be off (`air_density_correction`); a single
+    missing temperature leaves no expectation for its record.
+    """
     power = F.col("expected_power_kw")
-    if p.air_density_correction:
-        scale = clip(F.col("density_ratio"), 0.5, 1.15)
-        power = power * F.coalesce(scale, F.lit(1.0))
-    return power
+    return power * clip(F.col("density_ratio"), 0.5, 1.15) if p.air_density_correction else power

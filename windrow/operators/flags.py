@@ -10,7 +10,7 @@ from windrow.functions.num import air_density_ratio
 from windrow.functions.timegrid import month_of, timestamp_of
 from windrow.operators import timeseries as ts
 from windrow.operators.blocks import IN_BLOCK, add_block, with_history
-from windrow.operators.curve import expected_energy, power_at
+from windrow.operators.curve import expected_power, power_at
 from windrow.params import FarmParams
 from windrow.schema import FLAG_LABELS
 
@@ -158,7 +158,7 @@ def record_rules(rows: DataFrame, grid: DataFrame, p: FarmParams, has_status=Non
     df = df.filter(~F.col("is_halo")).drop("is_halo", "has_status")
     df = df.withColumn("density_ratio", air_density_ratio(F.col("temp_c"), p.air_pressure_kpa)
                        if p.air_density_correction else F.lit(None).cast("double"))
-    return df.withColumn("expected_power_kw", expected_energy(df, p))
+    return df.withColumn("expected_power_kw", expected_power(p))
 
 
 def flag_records(rows: DataFrame, grid: DataFrame, p: FarmParams, has_status=None,

@@ -14,11 +14,11 @@ V_MAX = 45.0
 def _bins(flagged: DataFrame, p: FarmParams, keys: list[str]) -> DataFrame:
     power = F.col("power_kw")
     if p.air_density_correction:
-        power = power / F.coalesce(clip(F.col("density_ratio"), 0.3, 1.5), F.lit(1.0))
+        power = power / clip(F.col("density_ratio"), 0.3, 1.5)
     ops = (flagged.filter("flag = 0 and ws is not null and power_kw is not null")
            .select(*keys, "ws", power.alias("pw"),
                    F.floor(F.col("ws") / p.bin_width_mps).cast("int").alias("bin"))
-           .filter(F.col("ws") < V_MAX))
+           .filter((F.col("ws") < V_MAX) & F.col("pw").isNotNull()))
     agg = ops.groupBy(*keys, "bin").agg(
         F.count(F.lit(1)).alias("count"), F.avg("ws").alias("mean_ws"), F.avg("pw").alias("mean_power"),
         F.stddev_pop("pw").alias("sd"), F.max("pw").alias("max_power"))
