@@ -19,8 +19,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from windrow.functions.timegrid import block_of
 
-IN_BLOCK = W.partitionBy("turbine", "block").orderBy("slot")
-IN_BLOCK_BACK = W.partitionBy("turbine", "block").orderBy(F.col("slot").desc())
+def in_block():
+    return W.partitionBy("turbine", "block").orderBy("slot")
+
+
+def in_block_back():
+    return W.partitionBy("turbine", "block").orderBy(F.col("slot").desc())
 
 
 def block_context(rows: DataFrame, history: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -31,7 +35,7 @@ def block_context(rows: DataFrame, history: int = 0, carry: tuple[str, ...] = ()
         aggs += [F.min(point).alias(f"first_{c}"), F.max(point).alias(f"last_{c}")]
     src = rows
     if history:
-        src = rows.withColumn("_rn", F.row_number().over(IN_BLOCK_BACK))
+        src = rows.withColumn("_rn", F.row_number().over(in_block_back()))
         record = F.struct("slot", *[c for c in rows.columns
                                     if c not in ("turbine", "block", "slot")])
         aggs.append(F.sort_array(F.collect_list(
@@ -65,7 +69,7 @@ def with_history(rows: DataFrame, ctx: DataFrame) -> DataFrame:
     extra = [c for c in ctx.columns if c not in ("turbine", "block", "prev")]
     prev_type = ctx.schema["prev"].dataType
     own_row = F.array(F.lit(None).cast(prev_type.elementType))
-    joined = (rows.withColumn("_rn", F.row_number().over(IN_BLOCK))
+    joined = (rows.withColumn("_rn", F.row_number().over(in_block()))
               .join(ctx, ["turbine", "block"], "left")
               .withColumn("_h", F.explode_outer(
                   F.when((F.col("_rn") == 1) & (F.size("prev") > 0),
@@ -77,9 +81,9 @@ def with_history(rows: DataFrame, ctx: DataFrame) -> DataFrame:
 
 def brackets(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Adds `a_c` / `b_c`: the last valid point of c up to the row, the first valid one after it."""
-    upto = IN_BLOCK.rowsBetween(W.unboundedPreceding, 0)
+    upto = in_block().rowsBetween(W.unboundedPreceding, 0)
     # a frame open to the end would be rescanned for every row; the reverse order is linear
-    beyond = IN_BLOCK_BACK.rowsBetween(W.unboundedPreceding, -1)
+    beyond = in_block_back().rowsBetween(W.unboundedPreceding, -1)
 
     def point(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct("slot", F.col(c).alias("v")))
@@ -93,7 +97,7 @@ def brackets(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def next_slot_in_series() -> Column:
-    return F.coalesce(F.lead("slot").over(IN_BLOCK), F.col("next_slot"))
+    return F.coalesce(F.lead("slot").over(in_block()), F.col("next_slot"))
 
 
 def add_block(df: DataFrame) -> DataFrame:

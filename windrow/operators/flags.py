@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from windrow.functions.num import air_density_ratio
 from windrow.functions.timegrid import month_of, timestamp_of
 from windrow.operators import timeseries as ts
-from windrow.operators.blocks import IN_BLOCK, add_block, with_history
+from windrow.operators.blocks import add_block, in_block, with_history
 from windrow.operators.curve import expected_power, power_at
 from windrow.params import FarmParams
 from windrow.schema import FLAG_LABELS
@@ -86,7 +86,7 @@ def _apply(df: DataFrame, cond: Column, flag: int, reason: str) -> DataFrame:
 def _run(cond: Column, n: int) -> Column:
     """1 for each record that ends a run of n consecutive records meeting the condition."""
     held = F.coalesce(cond.cast("int"), F.lit(0))
-    return F.sum(held).over(IN_BLOCK.rowsBetween(-(n - 1), 0)) == n
+    return F.sum(held).over(in_block().rowsBetween(-(n - 1), 0)) == n
 
 
 def rolling_flags(df: DataFrame, p: FarmParams) -> DataFrame:
@@ -114,7 +114,7 @@ def rolling_flags(df: DataFrame, p: FarmParams) -> DataFrame:
     df = _apply(df, (F.col("temp_c") > 39.0) & (ratio < 0.85), 5, R_HOT)
     df = _apply(df, (F.col("temp_c") < 1.0) & (ratio < 0.5), 5, R_ICE)
 
-    last12 = IN_BLOCK.rowsBetween(-(FROZEN_ROWS - 1), 0)
+    last12 = in_block().rowsBetween(-(FROZEN_ROWS - 1), 0)
     steady = ((F.count("ws").over(last12) == FROZEN_ROWS)
               & (F.stddev_samp("ws").over(last12) < 0.02 * ws) & (ws > 4.0))
     df = df.withColumn("frozen_candidate",
@@ -122,7 +122,8 @@ def rolling_flags(df: DataFrame, p: FarmParams) -> DataFrame:
     return df.drop("_low", "_ratio", "_c3", "_c4")
 
 
-AT_SLOT = W.partitionBy("slot")
+def at_slot():
+    return W.partitionBy("slot")
 
 
 def farm_rules(df: DataFrame, p: FarmParams) -> DataFrame:
@@ -131,10 +132,10 @@ def farm_rules(df: DataFrame, p: FarmParams) -> DataFrame:
     A slot holds at most one record per turbine, so its group is bounded by the farm size.
     """
     recorded = F.col("recorded") == 1
-    spread = F.stddev_samp(F.when(recorded, F.col("ws"))).over(AT_SLOT)
+    spread = F.stddev_samp(F.when(recorded, F.col("ws"))).over(at_slot())
     df = _apply(df.withColumn("_spread", spread),
                 F.col("frozen_candidate") & (F.col("_spread") > 0.5), 7, R_FROZEN)
-    farm = F.avg(F.when(F.col("flag") == 0, F.col("expected_power_kw"))).over(AT_SLOT)
+    farm = F.avg(F.when(F.col("flag") == 0, F.col("expected_power_kw"))).over(at_slot())
     return (df.withColumn("_farm", farm)
             .withColumn("expected_power_kw", F.when(F.col("flag") == 7, F.coalesce("_farm", F.lit(0.0)))
                         .otherwise(F.col("expected_power_kw")))

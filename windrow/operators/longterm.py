@@ -69,12 +69,17 @@ def lt_series(predicted: DataFrame, site: DataFrame) -> DataFrame:
             .unionByName(b.filter(F.col("n_pred") < MIN_LT_DAYS)).drop("n_pred"))
 
 
-def record_metrics(flagged: DataFrame, site: DataFrame, lt: DataFrame) -> DataFrame:
+def record_months(flagged: DataFrame) -> DataFrame:
+    """One row: whole days between first and last record, in months."""
+    days = F.floor((F.max("slot") - F.min("slot")) / 144)
+    return flagged.agg((days / 30.44).alias("record_months"))
+
+
+def record_metrics(months: DataFrame, site: DataFrame, lt: DataFrame) -> DataFrame:
     """One row: long-term years and mean, measured mean, months of record."""
     one = lt.agg((F.count(F.lit(1)) / 365.25).alias("lt_n_years"), F.avg("ws").alias("lt_mean_ws"),
                  F.max(F.col("origin") == "predicted").alias("has_mcp"))
-    days = F.floor((F.max("slot") - F.min("slot")) / 144)
-    one = with_scalars(one, flagged.agg((days / 30.44).alias("record_months")))
+    one = with_scalars(one, months)
     return with_scalars(one, site.agg(F.avg("ws").alias("site_mean_ws")))
 
 

@@ -13,14 +13,14 @@ from windrow.schema import PHYSICALS
 MIN_ROWS_TO_FILL = 10
 
 
-def resample_10min(df: DataFrame) -> DataFrame:
+def resample_10min(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Mean of the physicals, last known status, highest curtailment flag per turbine and slot.
 
     Adding up happens before the shuffle, so records at a higher rate collapse on the map side.
     """
     known = F.col("status").isNotNull()
     return (df.withColumn("slot", slot_of("timestamp"))
-            .groupBy("turbine", "slot")
+            .groupBy(*keys, "turbine", "slot")
             .agg(*[F.avg(c).alias(c) for c in PHYSICALS],
                  F.max_by("status", F.when(known, F.col("timestamp"))).alias("status"),
                  F.max("curt_flag").alias("curt_flag"))
@@ -34,15 +34,15 @@ def circular_mean_10min(df: DataFrame, column: str) -> DataFrame:
             .agg(angle(F.degrees(F.atan2(F.avg(F.sin(rad)), F.avg(F.cos(rad))))).alias(column)))
 
 
-def dedup_last_wins(df: DataFrame, order: str = "ordinal") -> DataFrame:
-    """Keeps, per turbine and timestamp, the record of the last source.
+def dedup_last_wins(df: DataFrame, keys: tuple[str, ...] = ("turbine", "timestamp"),
+                    order: str = "ordinal") -> DataFrame:
+    """Keeps, per turbine and time, the record of the last source.
 
     Written as an aggregate: copies collapse before the shuffle and no group is ever sorted.
     """
-    rest = [c for c in df.columns if c not in ("turbine", "timestamp", order)]
-    return (df.groupBy("turbine", "timestamp")
-            .agg(F.max(F.struct(order, *rest)).alias("r"))
-            .select("turbine", "timestamp", "r.*"))
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    return (df.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("r"))
+            .select(*keys, "r.*"))
 
 
 def step_counts(rows: DataFrame) -> DataFrame:

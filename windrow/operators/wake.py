@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from windrow.functions.num import clip, sector
 from windrow.functions.rows import with_scalars
 from windrow.operators.curve import power_at
-from windrow.operators.flags import AT_SLOT
+from windrow.operators.flags import at_slot
 from windrow.params import FarmParams
 
 REFERENCE_BAND = 0.015      # turbines within 1.5 % of the sector's best mean
@@ -32,7 +32,7 @@ def sectored(flagged: DataFrame, p: FarmParams, has_direction: bool = True) -> D
           .join(bad, "turbine", "left").withColumn("pool", F.col("_bad").isNull()).drop("_bad"))
     if not has_direction:
         return op.withColumn("sector", F.lit(0))
-    med = F.median(F.when(F.col("pool"), F.col("dir_deg"))).over(AT_SLOT)
+    med = F.median(F.when(F.col("pool"), F.col("dir_deg"))).over(at_slot())
     return op.withColumn("sector", sector(med, p.sector_width_deg))
 
 
@@ -56,8 +56,8 @@ def with_free_stream(rows: DataFrame) -> DataFrame:
     """
     ref = reference_set(rows).select("sector", "turbine", F.lit(True).alias("is_ref"))
     df = rows.join(ref, ["sector", "turbine"], "left")
-    mean_ref = F.avg(F.when(F.col("is_ref"), F.col("ws"))).over(AT_SLOT)
-    highest = F.max(F.when(F.col("pool"), F.col("ws"))).over(AT_SLOT)
+    mean_ref = F.avg(F.when(F.col("is_ref"), F.col("ws"))).over(at_slot())
+    highest = F.max(F.when(F.col("pool"), F.col("ws"))).over(at_slot())
     df = df.withColumn("_free", F.coalesce(mean_ref, highest)).filter("_free is not null")
     return (df.withColumn("ws_free", F.when(F.col("_free") >= MIN_FREE_WS, F.col("_free")))
             .drop("_free", "is_ref"))
