@@ -49,4 +49,5 @@ def land(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame
         df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
     else:
         df.hint("rebalance").write.parquet(path)
-    return spark.read.parquet(path)
+    # the schema is given, or a month such as 1996-01 would be read back as a date
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

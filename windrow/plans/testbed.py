@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from windrow.functions.rows import land
 from windrow.operators.curve import curve_grid, generic_curve
 from windrow.operators.flags import flag_records
 from windrow.operators.timeseries import resample_10min
-from windrow.params import FarmParams
+from windrow.params import FarmParams, FutureLosses
+from windrow.plans.assessment import Assessment
 
-PARAMS = FarmParams(air_pressure_kpa=99.2)
+PARAMS = FarmParams(air_pressure_kpa=99.2, preconstruction_p50_gwh=60.0)
+FUTURE = replace(PARAMS, future_losses=FutureLosses(3.0, 1.4, 2.0, 1.5))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +68,7 @@ def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_10min(scada(spark, sf_dir))
 
 
-_landed: dict[tuple, DataFrame] = {}
+_landed: dict = {}
 
 
 def landed(spark: SparkSession, key: tuple, build) -> DataFrame:
@@ -94,6 +98,28 @@ def reference_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (15.0 + (doy % 20).cast("double") - 10.0).alias("temp_c")))
 
 
+def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of the turbines that occur in the records, on a grid four turbines wide."""
+    t = flagged(spark, sf_dir).select("turbine").distinct()
+    tno = F.substring("turbine", 2, 2).cast("int") - 1
+    return t.select("turbine", (tno % 4 * 680).cast("double").alias("x"),
+                    (F.floor(tno / 4) * 544).cast("double").alias("y"))
+
+
+def assessment(spark: SparkSession, sf_dir: str, params: FarmParams = PARAMS) -> Assessment:
+    """Results of the test bed. The daily series come from ship dates, because the records of the
+    small scale factors cover weeks only."""
+    key = (spark.sparkContext.applicationId, "assessment", sf_dir, repr(params))
+    if key not in _landed:
+        site = landed(spark, ("site", sf_dir), lambda: site_daily(spark, sf_dir))
+        ref = landed(spark, ("reference", sf_dir), lambda: reference_daily(spark, sf_dir))
+        months = site.agg((F.datediff(F.max("d"), F.min("d")) / 30.44).alias("record_months"))
+        _landed[key] = Assessment(
+            flagged(spark, sf_dir), generic_curve(spark, params), params, ref, layout(spark, sf_dir),
+            site.select("d", "ws"), site.select("d", "e_mwh"), months)
+    return _landed[key]
+
+
 def site_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("d"))
             .agg(F.round(3.0 + F.avg("l_quantity") / 6.0, 6).alias("ws"),
