@@ -16,6 +16,16 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return held.select(*df.columns, *[F.col("_s")[c].alias(c) for c in one_row.columns])
 
 
+def hold_row(one_row: DataFrame) -> DataFrame:
+    """Evaluates a one-row result now and keeps it as constants.
+
+    Results that build on it then neither repeat its work nor nest its plan.
+    """
+    row = one_row.first()
+    return one_row.sparkSession.range(1).select(
+        *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in one_row.schema.fields])
+
+
 def unpivot_row(one_row: DataFrame, fields: list[tuple], names: tuple[str, ...]) -> DataFrame:
     """Turns expressions over a one-row result into rows; `fields` holds one tuple per row."""
     def as_col(v):

@@ -1,7 +1,8 @@
-"""The whole assessment: from records to yield. Every result is a lazy DataFrame.
+"""The whole assessment: from records to yield.
 
-The flagged table and the one-row site summary feed many results, so each is landed once; all other
-results are built when asked for and read only the columns they need.
+The flagged table feeds most results, so it is landed once. One-row results that others build on
+are evaluated when first asked for; every other result is a lazy DataFrame that reads only the
+columns it needs.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windrow.functions.rows import land, with_scalars
+from windrow.functions.rows import hold_row, land, with_scalars
 from windrow.operators import (curve, energy, flags, layout as lay, longterm as lt, powercurve as pc,
                                resource, timeseries as ts, wake, yaw, yieldcalc as yc)
 from windrow.params import FarmParams
@@ -49,7 +50,7 @@ class Assessment:
 
     @cached_property
     def account(self) -> DataFrame:
-        return energy.energy_accounting(self.base)
+        return hold_row(energy.energy_accounting(self.base))
 
     @cached_property
     def per_turbine(self) -> DataFrame:
@@ -66,7 +67,7 @@ class Assessment:
 
     @cached_property
     def wake_loss(self) -> DataFrame:
-        return wake.wake_loss(self.deficits, self.account, self.params)
+        return hold_row(wake.wake_loss(self.deficits, self.account, self.params))
 
     @cached_property
     def wake_turbine(self) -> DataFrame:
@@ -113,17 +114,17 @@ class Assessment:
         if self.reference is None:
             return self.spark.range(1).select(F.lit(None).cast("double").alias("mcp_r2"),
                                               F.lit(0).cast("bigint").alias("mcp_days"))
-        return lt.mcp_r2(self.fits)
+        return hold_row(lt.mcp_r2(self.fits))
 
     @cached_property
     def metrics(self) -> DataFrame:
         months = self.months if self.months is not None else lt.record_months(self.flagged)
-        return lt.record_metrics(months, self.site_daily, self.lt_daily)
+        return hold_row(lt.record_metrics(months, self.site_daily, self.lt_daily))
 
     @cached_property
     def weibull(self) -> DataFrame:
         fit = resource.weibull_fit(resource.wind_moments(self.flagged))
-        return lt.weibull_lt(fit.select("weibull_a", "weibull_k"), self.metrics)
+        return hold_row(lt.weibull_lt(fit.select("weibull_a", "weibull_k"), self.metrics))
 
     @cached_property
     def aep(self) -> DataFrame:
@@ -131,11 +132,11 @@ class Assessment:
         row = self.weibull.select("lt_a", "lt_k")
         row = with_scalars(row, self.base.agg(F.countDistinct("turbine").alias("n_turbines")))
         row = with_scalars(row, lt.aep_weibull(self.weibull.select("lt_a", "lt_k"), self.grid))
-        return row.withColumn("method_a_mwh", F.col("aep_mwh") * F.col("n_turbines"))
+        return hold_row(row.withColumn("method_a_mwh", F.col("aep_mwh") * F.col("n_turbines")))
 
     @cached_property
     def daily_method(self) -> DataFrame:
-        return lt.lt_daily_energy(self.daily_energy, self.site_daily, self.lt_daily, self.metrics)
+        return hold_row(lt.lt_daily_energy(self.daily_energy, self.site_daily, self.lt_daily, self.metrics))
 
     def _no_reference(self, *names: str) -> DataFrame:
         return self.spark.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])
@@ -144,13 +145,14 @@ class Assessment:
     def monthly_method(self) -> DataFrame:
         if self.reference is None:
             return self._no_reference("monthly_slope", "monthly_intercept", "monthly_r2", "monthly_n", "monthly_mwh")
-        return lt.lt_monthly_energy(energy.monthly_gross(self.daily_energy), self.reference, self.metrics)
+        return hold_row(lt.lt_monthly_energy(energy.monthly_gross(self.daily_energy), self.reference,
+                                             self.metrics))
 
     @cached_property
     def normalised_month(self) -> DataFrame:
         if self.reference is None:
             return self._no_reference("nm_slope", "nm_intercept", "nm_r2", "nm_n", "nm_mwh")
-        return lt.normalised_month(self.daily_energy, self.reference, self.metrics, self.params)
+        return hold_row(lt.normalised_month(self.daily_energy, self.reference, self.metrics, self.params))
 
     @cached_property
     def choice(self) -> DataFrame:
@@ -163,11 +165,10 @@ class Assessment:
     # yield
     @cached_property
     def net(self) -> DataFrame:
-        """One landed row with all sums the yield tables start from."""
-        gross = land(self.gross, "gross")
+        """One row with all sums the yield tables start from."""
         farm = lay.layout_farm(self.layout_energy) if self.layout is not None else None
-        row = yc.site_row(self.account, self.wake_loss, gross, self.params, farm)
-        return land(yc.with_net(row, self.params), "site")
+        row = yc.site_row(self.account, self.wake_loss, self.gross, self.params, farm)
+        return hold_row(yc.with_net(row, self.params))
 
     @cached_property
     def tree(self) -> DataFrame:
@@ -179,11 +180,11 @@ class Assessment:
 
     @cached_property
     def components(self) -> DataFrame:
-        return land(yc.uncertainty_components(self.net, self.sigma, self.params), "components")
+        return yc.uncertainty_components(self.net, self.sigma, self.params)
 
     @cached_property
     def net_sigma(self) -> DataFrame:
-        return yc.with_sigma(self.net, self.components)
+        return hold_row(yc.with_sigma(self.net, self.components))
 
     @cached_property
     def kpis(self) -> DataFrame:
@@ -197,7 +198,7 @@ class Assessment:
         row = with_scalars(row, self.mcp_quality)
         period = self.flagged.agg(F.min("timestamp").cast("string").alias("record_start"),
                                   F.max("timestamp").cast("string").alias("record_end"))
-        return with_scalars(row, period)
+        return hold_row(with_scalars(row, period))
 
     def tables(self) -> dict[str, DataFrame]:
         """The named result tables of a run."""

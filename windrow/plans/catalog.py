@@ -130,7 +130,7 @@ def layout_scan(s, d):
 def reference_daily(s, d):
     o = tb.table(s, d, "orders")
     raw = o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"),
-                   (2.0 + F.col("o_totalprice") / 50000.0).cast("string").alias("ws_mps"),
+                   (2.0 + F.col("o_totalprice") / 50021.7).cast("string").alias("ws_mps"),
                    (F.col("o_custkey") % 720).cast("string").alias("dir_deg"))
     return out(auxiliary.reference_daily(raw), 6)
 
@@ -248,7 +248,7 @@ def _tiered(s, d):
 
 
 def gap_fill_tiered(s, d):
-    return out(_tiered(s, d).select("turbine", "slot", "ws", "power_kw", "filled", "fill_method"))
+    return out(_tiered(s, d).select("turbine", "slot", "ws", "power_kw", "filled", "fill_method"), 6)
 
 
 def gap_fill_summary(s, d):
@@ -691,10 +691,9 @@ def p_values_draws(s, d):
 
 
 def yield_histogram(s, d):
-    """Density of the draws of the farm energy in 80 bins."""
+    """Density of the draws of all turbines' energies in 80 bins."""
     x = a(s, d)
-    farm = x.net.select(F.lit("farm").alias("turbine"), "net_mwh")
-    draws = yc.yield_draws(farm, x.components, ("turbine",), "net_mwh", P)
+    draws = yc.yield_draws(x.per_turbine, x.components, ("turbine",), "energy_mwh", P)
     return out(resource.density_histogram(draws, "yield_mwh", 80), 8)
 
 
