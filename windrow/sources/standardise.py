@@ -21,36 +21,46 @@ def _quoted(name: str) -> Column:
 
 def number(c: Column, comma: Column | None = None) -> Column:
     """Number or NULL; NaN becomes NULL. With `comma`, decimal commas are read where it is true."""
-    text = F.trim(c.cast("string"))
-    plain = text.try_cast("double")
+    plain = c.try_cast("double")
     if comma is not None:
-        plain = F.when(comma, F.replace(text, F.lit(","), F.lit(".")).try_cast("double")).otherwise(plain)
-    return F.when(~F.isnan(plain), plain)
+        plain = F.when(comma, F.replace(c.cast("string"), F.lit(","), F.lit(".")).try_cast("double")) \
+            .otherwise(plain)
+    return F.nanvl(plain, F.lit(None).cast("double"))
 
 
 def comma_decision(c: Column) -> Column:
-    """Aggregate: more than 30 % unreadable as plain numbers, and more readable with a comma."""
-    plain = F.count(number(c))
-    with_comma = F.count(number(c, F.lit(True)))
+    """Aggregate: more than 30 % unreadable as plain numbers, and more readable with a comma.
+
+    Text that reads as a plain number reads the same with the comma rule, so only the rest counts.
+    """
+    plain = number(c)
+    gained = F.count(F.when(plain.isNull(), number(c, F.lit(True))))
     total = F.count(F.lit(1))
-    return ((total - plain) / total > TEXT_SHARE) & (with_comma > plain)
+    return ((total - F.count(plain)) / total > TEXT_SHARE) & (gained > 0)
+
+
+DAY_MONTH_YEAR = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})"
 
 
 def stamp(text: Column, day_first: Column) -> Column:
     """Timestamp from ISO, d.m.y or m/d/y text; NULL if unreadable. No time zone is involved."""
     s = F.trim(text)
-    parts = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})"
-    iso = F.when(day_first, F.regexp_replace(s, parts, "$3-$2-$1")).otherwise(
-        F.regexp_replace(s, parts, "$3-$1-$2"))
+    iso = F.when(day_first, F.regexp_replace(s, DAY_MONTH_YEAR, "$3-$2-$1")).otherwise(
+        F.regexp_replace(s, DAY_MONTH_YEAR, "$3-$1-$2"))
     iso = F.regexp_replace(iso, r"^(\d{4})[./](\d{1,2})[./](\d{1,2})", "$1-$2-$3")
     # hours and minutes without seconds
     iso = F.regexp_replace(iso, r"^(\S+[ T]\d{1,2}:\d{2})$", "$1:00")
-    return iso.try_cast("timestamp_ntz")
+    return F.coalesce(s.try_cast("timestamp_ntz"), iso.try_cast("timestamp_ntz"))
 
 
 def day_first_decision(text: Column) -> Column:
     """Aggregate: more stamps readable with the day first than with the month first."""
-    return F.count(stamp(text, F.lit(True))) > F.count(stamp(text, F.lit(False)))
+    open_order = F.trim(text).rlike(DAY_MONTH_YEAR)
+
+    def readable(day_first: bool) -> Column:
+        return F.count(F.when(open_order, stamp(text, F.lit(day_first))))
+
+    return readable(True) > readable(False)
 
 
 def status_code(c: Column) -> Column:
@@ -68,11 +78,9 @@ def clean_ranges(df: DataFrame) -> DataFrame:
         "curt_flag": (F.col("curt_flag") > 0).cast("int")})
 
 
-def scale_mw(df: DataFrame) -> DataFrame:
-    """Power given in MW without saying so: no value of the whole input reaches 100."""
-    top = df.agg(F.coalesce(F.max("power_kw") < MW_LIMIT, F.lit(False)).alias("is_mw"))
-    return with_scalars(df, top).withColumn(
-        "power_kw", F.when(F.col("is_mw"), F.col("power_kw") * 1000.0).otherwise(F.col("power_kw"))).drop("is_mw")
+def mw_decision(power: Column) -> Column:
+    """Aggregate: power given in MW without saying so, as no value of the whole input reaches 100."""
+    return F.coalesce(F.max(power) < MW_LIMIT, F.lit(False))
 
 
 OUT = {"power": "power_kw", "ws": "ws", "dir": "dir_deg", "wind_dir": "wind_dir_deg", "temp": "temp_c",
@@ -88,17 +96,19 @@ def standardise(raw: DataFrame, plan: ColumnPlan, tags: tuple[str, ...] = ()) ->
                                                                         T.DateType))
     text = F.concat_ws(" ", *[F.trim(s.cast("string")) for s in stamps])
 
-    # one pass over the needed columns decides date order and decimal sign
+    # one pass over the needed columns decides date order, decimal sign and power unit
     asked = [] if native else [day_first_decision(text).alias("day_first")]
-    kinds = [(k, c) for cols in (plan.wide.values() if plan.wide else [plan.fields])
-             for k, c in cols.items() if k != "status" and c in is_text]
-    names = {c: f"comma_{i}" for i, (_, c) in enumerate(kinds)}
+    layouts = list(plan.wide.values()) if plan.wide else [plan.fields]
+    measured = [(k, c) for cols in layouts for k, c in cols.items() if k != "status"]
+    names = {c: f"comma_{i}" for i, (_, c) in enumerate(measured) if c in is_text}
     asked += [comma_decision(_quoted(c)).alias(n) for c, n in names.items()]
+    power = [c for k, c in measured if k == "power"]
+    asked.append(mw_decision(F.greatest(*[_read(c, c in is_text) * unit_factor("power", c) for c in power],
+                                        F.lit(None).cast("double"))).alias("is_mw"))
     keep = list(dict.fromkeys([*plan.timestamp, *([plan.turbine] if plan.turbine else []),
                                *plan.value_columns(), *tags]))
     df = raw.select(*[_quoted(c) for c in keep])
-    if asked:
-        df = with_scalars(df, df.agg(*asked))
+    df = with_scalars(df, df.agg(*asked))
 
     def value(kind: str, column: str) -> Column:
         c = _quoted(column)
@@ -107,21 +117,25 @@ def standardise(raw: DataFrame, plan: ColumnPlan, tags: tuple[str, ...] = ()) ->
         x = number(c, F.col(names[column]) if column in names else None)
         if kind == "curtailment":
             return F.when(x > 0, 1).otherwise(0)
+        if kind == "power":
+            x = x * F.when(F.col("is_mw"), 1000.0).otherwise(1.0)
         return x * unit_factor(kind, column)
 
-    def record(turbine: Column, cols: dict[str, str]) -> list[Column]:
-        given = {OUT[k]: value(k, c) for k, c in cols.items()}
-        return [turbine.alias("turbine"), *[
-            given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCADA.fields
-            if f.name not in ("turbine", "timestamp")]]
-
     when = stamps[0].cast("timestamp_ntz") if native else stamp(text, F.col("day_first"))
-    if plan.wide:
-        # one struct per turbine: rows become long without a shuffle
-        per = F.array(*[F.struct(*record(F.lit(t), cols)) for t, cols in plan.wide.items()])
-        df = df.select(when.alias("timestamp"), *tags, F.inline(per))
-    else:
-        turbine = F.trim(_quoted(plan.turbine).cast("string")) if plan.turbine else F.lit("T01")
-        df = df.select(when.alias("timestamp"), *tags, *record(turbine, plan.fields))
+
+    def record(turbine: Column, cols: dict[str, str]) -> Column:
+        given = {"turbine": turbine, "timestamp": when, **{OUT[k]: value(k, c) for k, c in cols.items()}}
+        return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCADA.fields])
+
+    turbine = F.trim(_quoted(plan.turbine).cast("string")) if plan.turbine else F.lit("T01")
+    records = [record(F.lit(t), cols) for t, cols in plan.wide.items()] or [record(turbine, plan.fields)]
+    # inline makes wide rows long without a shuffle, and has every cell parsed only once
+    df = df.select(*tags, F.inline(F.array(*records)))
     df = df.filter(F.col("timestamp").isNotNull()).select(*SCADA.fieldNames(), *tags)
-    return clean_ranges(scale_mw(df))
+    return clean_ranges(df)
+
+
+def _read(column: str, text: bool) -> Column:
+    """A cell as number, with decimal commas where it does not read without."""
+    c = _quoted(column)
+    return F.coalesce(number(c), number(c, F.lit(True))) if text else number(c)
