@@ -68,7 +68,8 @@ def wrap180(deg: Column) -> Column:
 
 
 def angle(deg: Column) -> Column:
-    return F.when(deg.isNotNull(), F.pmod(deg, F.lit(360.0)))
+    """Angle within 0..360."""
+    return F.pmod(deg, F.lit(360.0))
 
 
 def sector(deg: Column, width: float) -> Column:
