@@ -270,8 +270,8 @@ SELECT l_orderkey % 100 AS k, {r('sum(l_extendedprice)', 'price', 3)},
        {r('sum(CASE WHEN l_linenumber <> 7 THEN l_tax END)', 'tax', 3)},
        count(CASE WHEN l_linenumber <> 7 THEN l_tax END) AS n_tax FROM lineitem GROUP BY 1""")
 q("parse_dayfirst", f"""
-SELECT turbine, strftime(ts, '%Y-%m-%d') AS d, count(*) AS n, strftime(max(ts), {STAMP}) AS last_ts,
-       {r('sum(power_kw)', 'power')} FROM raw GROUP BY 1, 2""")
+SELECT turbine, strftime(ts + INTERVAL 14 DAY, '%Y-%m-%d') AS d, count(*) AS n,
+       strftime(max(ts) + INTERVAL 14 DAY, {STAMP}) AS last_ts, {r('sum(power_kw)', 'power')} FROM raw GROUP BY 1, 2""")
 q("status_text_map", """
 SELECT word, CASE WHEN word IN ('unheard of') THEN NULL ELSE status END AS code, count(*) AS n
 FROM (SELECT CAST(status AS BIGINT) AS status,

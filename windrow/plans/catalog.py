@@ -161,7 +161,8 @@ def coerce_decimal_comma(s, d):
 
 
 def parse_dayfirst(s, d):
-    raw = _export(s, d, Date="date_format(timestamp, 'dd.MM.yyyy')", Time="date_format(timestamp, 'HH:mm')",
+    # moved to the middle of the month, where only one reading of a date is possible
+    raw = _export(s, d, Date="date_format(timestamp + interval 14 days, 'dd.MM.yyyy')", Time="date_format(timestamp, 'HH:mm')",
                   WEC="turbine", P_avg="power_kw", V_avg="ws")
     df = standardise(raw, plan_columns(raw.columns))
     return out(df.groupBy("turbine", F.to_date("timestamp").alias("d")).agg(
