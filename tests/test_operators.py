@@ -167,9 +167,9 @@ def test_yaw_finds_the_planted_offset(spark):
         rows.append(("T1", i, ws, power, (100 + err) % 360, 100.0, 0))
     df = spark.createDataFrame(rows, "turbine string, slot bigint, ws double, power_kw double, wind_dir_deg double,"
                                      " dir_deg double, flag int")
-    r = one(yaw.yaw_screening(yaw.yaw_fit(yaw.yaw_rows(df, P))))
+    r = one(yaw.yaw_screening(yaw.yaw_fit(yaw.yaw_rows(df, yaw.bin_means(df, P), P))))
     assert abs(r["yaw_misalignment_deg"] - 7) < 1 and r["flagged"] and r["loss_pct"] > 1
-    assert yaw.yaw_rows(df.limit(150), P).count() == 0
+    assert yaw.bin_means(df.limit(150), P).count() == 0
 
 
 def test_frozen_anemometer_is_imputed_from_the_farm(spark):

@@ -101,4 +101,8 @@ def next_slot_in_series() -> Column:
 
 
 def add_block(df: DataFrame) -> DataFrame:
-    return df.withColumn("block", block_of())
+    """Adds the block; records without a turbine belong to no series and drop out.
+
+    The filter also makes the plans of rows and context equal, so that their shuffle is shared.
+    """
+    return df.filter(F.col("turbine").isNotNull()).withColumn("block", block_of())

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from windrow.functions.num import angle
+from windrow.functions.rows import land
 from windrow.functions.timegrid import slot_of
 from windrow.operators.blocks import add_block, block_context, brackets, next_slot_in_series
 from windrow.schema import PHYSICALS
@@ -245,7 +246,8 @@ def gap_fill_tiered(rows: DataFrame, grid: DataFrame, short: int = 6, medium: in
     farm = rows.groupBy("slot").agg(F.avg("ws").alias("farm_ws"))
     df = df.join(farm, "slot", "left")
     ratio = F.col("ws0") / F.when(F.col("farm_ws") != 0, F.col("farm_ws"))
-    level = exact_median(df.select("turbine", ratio.alias("level")), ["turbine"], "level", 1 / 512)
+    # one row per turbine; landed, so that its size is known to the join
+    level = land(exact_median(df.select("turbine", ratio.alias("level")), ["turbine"], "level", 1 / 512), "level")
     df = df.join(level, "turbine", "left")
     ws = (F.when(F.col("ws0").isNotNull(), F.col("ws0"))
           .when(F.col("gap_len") <= short, _linear("ws", short))

@@ -15,18 +15,20 @@ MIN_FREE_WS = 5.0
 MIN_WAKE_WS = 6.0
 
 
-def bad_anemometers(flagged: DataFrame) -> DataFrame:
-    """Turbines with more than 2 % of their records flagged as anemometer fault."""
-    return (flagged.groupBy("turbine").agg(F.avg((F.col("flag") == 7).cast("double")).alias("fault_share"))
+def bad_anemometers(base: DataFrame) -> DataFrame:
+    """Turbines with more than 2 % of their records flagged as anemometer fault, from the base table."""
+    faulty = F.sum(F.when(F.col("flag") == 7, F.col("n")).otherwise(0))
+    return (base.groupBy("turbine").agg((faulty / F.sum("n")).alias("fault_share"))
             .filter("fault_share > 0.02"))
 
 
-def sectored(flagged: DataFrame, p: FarmParams, has_direction: bool = True) -> DataFrame:
+def sectored(flagged: DataFrame, base: DataFrame, p: FarmParams, has_direction: bool = True) -> DataFrame:
     """Operating records with `pool` (may serve as reference) and the sector of their time.
 
-    The sector is the median direction of the pool; a time holds one record per turbine.
+    The sector is the median direction of the pool; a time holds one record per turbine. `base` is
+    the landed base table: Spark knows its size and decides about the join from it.
     """
-    bad = bad_anemometers(flagged).select("turbine", F.lit(True).alias("_bad"))
+    bad = bad_anemometers(base).select("turbine", F.lit(True).alias("_bad"))
     op = (flagged.filter("flag = 0 and ws is not null")
           .select("turbine", "slot", "ws", "dir_deg", "density_ratio")
           .join(bad, "turbine", "left").withColumn("pool", F.col("_bad").isNull()).drop("_bad"))
@@ -49,12 +51,13 @@ def reference_set(rows: DataFrame) -> DataFrame:
             .filter(F.col("mean_ws") >= F.col("best") * (1.0 - REFERENCE_BAND)).drop("best"))
 
 
-def with_free_stream(rows: DataFrame) -> DataFrame:
+def with_free_stream(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """Adds the free-stream wind speed of each time: mean of its reference turbines, else the maximum.
 
-    The rows are already spread by slot from the sector step, so this adds no shuffle.
+    `reference` is the landed reference set (a few rows per sector). As its size is known, it joins
+    without moving the rows, which stay spread by slot from the sector step.
     """
-    ref = reference_set(rows).select("sector", "turbine", F.lit(True).alias("is_ref"))
+    ref = reference.select("sector", "turbine", F.lit(True).alias("is_ref"))
     df = rows.join(ref, ["sector", "turbine"], "left")
     mean_ref = F.avg(F.when(F.col("is_ref"), F.col("ws"))).over(at_slot())
     highest = F.max(F.when(F.col("pool"), F.col("ws"))).over(at_slot())
@@ -63,14 +66,14 @@ def with_free_stream(rows: DataFrame) -> DataFrame:
             .drop("_free", "is_ref"))
 
 
-def free_stream(rows: DataFrame) -> DataFrame:
+def free_stream(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """One row per time with its free-stream wind speed."""
-    return (with_free_stream(rows).groupBy("slot", "sector").agg(F.max("ws_free").alias("ws_free")))
+    return (with_free_stream(rows, reference).groupBy("slot", "sector").agg(F.max("ws_free").alias("ws_free")))
 
 
-def deficits(rows: DataFrame, grid: DataFrame, p: FarmParams) -> DataFrame:
+def deficits(rows: DataFrame, reference: DataFrame, grid: DataFrame, p: FarmParams) -> DataFrame:
     """Wake deficit and lost power per operating record."""
-    df = power_at(power_at(with_free_stream(rows), grid, "ws_free", "_pf"), grid, "ws", "_pw")
+    df = power_at(power_at(with_free_stream(rows, reference), grid, "ws_free", "_pf"), grid, "ws", "_pw")
     waked = F.coalesce((F.col("ws_free") - F.col("ws") > 0.1) & (F.col("ws_free") > MIN_WAKE_WS),
                        F.lit(False))
     lost = F.greatest(F.lit(0.0), F.col("_pf") - F.col("_pw"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from windrow.functions.num import clip, det3, wrap180
+from windrow.functions.rows import with_scalars
 from windrow.params import FarmParams
 
 FLAG_THRESHOLD_DEG = 5.0
@@ -12,25 +13,39 @@ MIN_FARM, MIN_TURBINE, MIN_USED = 200, 100, 80
 SCALE = 10.0        # the fit runs on degrees / 10, which keeps the power sums well conditioned
 
 
-def yaw_rows(flagged: DataFrame, p: FarmParams) -> DataFrame:
-    """Usable records with yaw error and power relative to the mean of turbine and 0.5 m/s bin."""
-    ops = (flagged.filter("flag = 0 and ws is not null and power_kw is not null"
-                          " and wind_dir_deg is not null and dir_deg is not null")
-           .select("turbine", "slot", "ws", "power_kw",
-                   wrap180(F.col("wind_dir_deg") - F.col("dir_deg")).alias("yaw_err"),
-                   F.when((F.col("ws") >= max(3.0, p.cut_in_mps)) & (F.col("ws") <= 12.0),
-                          F.floor(F.col("ws") * 2).cast("int")).alias("bin")))
-    # one row per turbine and bin: a small table, whatever the number of records
-    bins = ops.groupBy("turbine", "bin").agg(F.count(F.lit(1)).alias("n"),
-                                             F.avg("power_kw").alias("bin_mean"))
+def _usable(flagged: DataFrame, p: FarmParams) -> DataFrame:
+    in_range = (F.col("ws") >= max(3.0, p.cut_in_mps)) & (F.col("ws") <= 12.0)
+    return (flagged.filter("flag = 0 and ws is not null and power_kw is not null"
+                           " and wind_dir_deg is not null and dir_deg is not null")
+            .select("turbine", "slot", "ws", "power_kw",
+                    wrap180(F.col("wind_dir_deg") - F.col("dir_deg")).alias("yaw_err"),
+                    F.when(in_range, F.floor(F.col("ws") * 2).cast("int")).alias("bin")))
+
+
+def bin_means(flagged: DataFrame, p: FarmParams) -> DataFrame:
+    """Mean power per turbine and 0.5 m/s bin, for turbines with enough records.
+
+    One row per turbine and bin, whatever the number of records.
+    """
+    usable = _usable(flagged, p)
+    bins = usable.groupBy("turbine", "bin").agg(F.count(F.lit(1)).alias("n"),
+                                                F.avg("power_kw").alias("bin_mean"))
     turbine = W.partitionBy("turbine")
     bins = (bins.withColumn("n_op", F.sum("n").over(turbine))
-            .withColumn("n_used", F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).over(turbine))
-            .withColumn("n_farm", F.sum("n").over(W.partitionBy(F.lit(1)))))
+            .withColumn("n_used", F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).over(turbine)))
+    bins = with_scalars(bins, usable.agg(F.count(F.lit(1)).alias("n_farm")))
     good = bins.filter((F.col("n_farm") >= MIN_FARM) & (F.col("n_op") >= MIN_TURBINE)
                        & (F.col("n_used") >= MIN_USED) & F.col("bin").isNotNull())
+    return good.select("turbine", "bin", "bin_mean")
+
+
+def yaw_rows(flagged: DataFrame, means: DataFrame, p: FarmParams) -> DataFrame:
+    """Usable records with yaw error and power relative to the mean of turbine and bin.
+
+    `means` is the landed result of bin_means, so that the records need not move for the join.
+    """
     ratio = F.col("power_kw") / F.greatest(F.col("bin_mean"), F.lit(1.0))
-    return (ops.join(good.select("turbine", "bin", "bin_mean"), ["turbine", "bin"])
+    return (_usable(flagged, p).join(means, ["turbine", "bin"])
             .select("turbine", "slot", "ws", "power_kw", "yaw_err", clip(ratio, 0.3, 1.7).alias("pr")))
 
 

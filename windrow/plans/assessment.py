@@ -59,11 +59,19 @@ class Assessment:
     # wake
     @cached_property
     def wake_rows(self) -> DataFrame:
-        return wake.sectored(self.flagged, self.params, self.has_direction)
+        return wake.sectored(self.flagged, self.base, self.params, self.has_direction)
+
+    @cached_property
+    def reference_set(self) -> DataFrame:
+        return land(wake.reference_set(self.wake_rows), "reference-set")
 
     @cached_property
     def deficits(self) -> DataFrame:
-        return wake.deficits(self.wake_rows, self.grid, self.params)
+        return wake.deficits(self.wake_rows, self.reference_set, self.grid, self.params)
+
+    @cached_property
+    def yaw_rows(self) -> DataFrame:
+        return yaw.yaw_rows(self.flagged, land(yaw.bin_means(self.flagged, self.params), "yaw-bins"), self.params)
 
     @cached_property
     def wake_loss(self) -> DataFrame:
@@ -220,7 +228,7 @@ class Assessment:
             "wind_monthly": resource.wind_monthly(self.flagged),
             "wind_diurnal": resource.wind_diurnal(self.flagged),
             "wind_histogram": resource.wind_histogram(self.flagged),
-            "yaw": yaw.yaw_screening(yaw.yaw_fit(yaw.yaw_rows(self.flagged, p))),
+            "yaw": yaw.yaw_screening(yaw.yaw_fit(self.yaw_rows)),
             "lt_daily": self.lt_daily,
             "loss_tree": self.tree,
             "loss_reconciliation": yc.loss_reconciliation(self.net),

@@ -350,7 +350,7 @@ def impute_anemometer(s, d):
 
 
 def bad_anemometers(s, d):
-    return out(wake.bad_anemometers(_frozen(s, d)), 6)
+    return out(wake.bad_anemometers(energy.energy_base(_frozen(s, d))), 6)
 
 
 def flag_summary(s, d):
@@ -511,11 +511,11 @@ def wake_sector(s, d):
 
 
 def wake_reference_set(s, d):
-    return out(wake.reference_set(a(s, d).wake_rows), 6)
+    return out(a(s, d).reference_set, 6)
 
 
 def wake_free_stream(s, d):
-    return out(wake.free_stream(a(s, d).wake_rows), 6)
+    return out(wake.free_stream(a(s, d).wake_rows, a(s, d).reference_set), 6)
 
 
 def wake_deficit(s, d):
@@ -642,19 +642,19 @@ def sigma_wind(s, d):
 
 
 def yaw_rows(s, d):
-    return out(yaw.yaw_rows(flagged(s, d), P).select("turbine", "slot", "yaw_err", "pr"), 6)
+    return out(a(s, d).yaw_rows.select("turbine", "slot", "yaw_err", "pr"), 6)
 
 
 def yaw_fit(s, d):
-    return out(yaw.yaw_fit(yaw.yaw_rows(flagged(s, d), P)), 7)
+    return out(yaw.yaw_fit(a(s, d).yaw_rows), 7)
 
 
 def yaw_screening(s, d):
-    return out(yaw.yaw_screening(yaw.yaw_fit(yaw.yaw_rows(flagged(s, d), P))), 5)
+    return out(yaw.yaw_screening(yaw.yaw_fit(a(s, d).yaw_rows)), 5)
 
 
 def yaw_bins(s, d):
-    return out(yaw.yaw_bins(yaw.yaw_rows(flagged(s, d), P)), 6)
+    return out(yaw.yaw_bins(a(s, d).yaw_rows), 6)
 
 
 # ---- yield -----------------------------------------------------------------------------------
