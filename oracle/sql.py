@@ -589,6 +589,9 @@ def qw(name: str, select: str, moments: str, **local: str) -> None:
 # a recursive step may not be found through its own text; list it before its users
 MOM_T = "SELECT turbine AS key, avg(ws) AS mu, stddev_samp(ws) AS sd, count(*) AS n FROM filled WHERE ws > 0.5 GROUP BY 1"
 MOM_1 = "SELECT 1 AS key, avg(ws) AS mu, stddev_samp(ws) AS sd, count(*) AS n FROM filled WHERE ws > 0.5"
+q("pp_sample", f"""
+SELECT turbine, {TS}, {rs('ws power_kw')}, {r('xp', 'expected_power_kw')} FROM winds
+ORDER BY md5(concat(turbine, '|', slot)), turbine, slot LIMIT 30000""")
 qw("weibull_fit", f"""
 SELECT key AS turbine, {r('mu', 'mean_ws', 5)}, {r('sd', 'sd_ws', 5)}, n, {r('k', 'weibull_k', 5)}, {r('a', 'weibull_a', 5)}
 FROM wb""", MOM_T)

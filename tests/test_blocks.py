@@ -80,6 +80,13 @@ def test_short_series_is_left_alone(spark):
     assert len(got) == 4 and all(r["gap_filled"] == 0 for r in got)
 
 
+def test_circular_mean(spark):
+    df = spark.createDataFrame([("a", "2024-01-01 00:01:00", 350.0), ("a", "2024-01-01 00:03:00", 20.0)],
+                               "turbine string, t string, dir_deg double").selectExpr(
+        "turbine", "cast(t as timestamp_ntz) as timestamp", "dir_deg")
+    assert abs(ts.circular_mean_10min(df, "dir_deg").first()["dir_deg"] - 5.0) < 1e-9
+
+
 def test_exact_median(spark):
     rnd = random.Random(1)
     data = [("a", rnd.choice([0.5, 0.5, 0.7, rnd.random()])) for _ in range(501)]

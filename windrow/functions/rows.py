@@ -37,7 +37,7 @@ def unpivot_row(one_row: DataFrame, fields: list[tuple], names: tuple[str, ...])
 
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for landed tables: spark.checkpoint.dir; a temporary one only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base
     if not spark.sparkContext.master.startswith("local"):

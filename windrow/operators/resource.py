@@ -85,7 +85,7 @@ def density_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def pp_sample(flagged: DataFrame, n: int = 30000) -> DataFrame:
     """At most n records of measured against expected power, chosen by hash (repeatable)."""
-    return (valid_wind(flagged).withColumn("_h", F.xxhash64("turbine", "slot"))
+    return (valid_wind(flagged).withColumn("_h", F.md5(F.concat_ws("|", "turbine", "slot")))
             .orderBy("_h", "turbine", "slot").limit(n)
             .select("turbine", "slot", "ws", "power_kw", "expected_power_kw"))
 
