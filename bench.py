@@ -56,7 +56,8 @@ def main() -> None:
 
     start = time.time()
     raw = repeated(tb.scada(spark, SF_DIR), COPIES)
-    flagged = land(flag_records(resample_10min(raw), tb.grid(spark), tb.PARAMS), "flagged", "month")
+    rows10 = land(resample_10min(raw), "resampled")
+    flagged = land(flag_records(rows10, tb.grid(spark), tb.PARAMS), "flagged", "month")
     times["records_to_flagged"] = time.time() - start
     rows = tb.table(spark, SF_DIR, "lineitem").count() * COPIES
     tb._landed[(spark.sparkContext.applicationId, "flagged", SF_DIR)] = flagged

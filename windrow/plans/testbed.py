@@ -90,7 +90,7 @@ def forget_landed() -> None:
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagged table of the test bed, landed once."""
     return landed(spark, ("flagged", sf_dir), lambda: flag_records(
-        resampled(spark, sf_dir), grid(spark), PARAMS))
+        land(resampled(spark, sf_dir), "resampled"), grid(spark), PARAMS))
 
 
 def reference_daily(spark: SparkSession, sf_dir: str) -> DataFrame:

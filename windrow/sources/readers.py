@@ -29,24 +29,28 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, list[str]]:
     return sep, [c.strip() for c in fields[sep]]
 
 
-def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_raw(spark: SparkSession, paths: list[str], tag_file: bool = False) -> DataFrame:
     """All columns as found; text columns for CSV. Files of one call share a layout.
 
     CSV is read with positional names, so preamble and header lines arrive as rows; they have no
     readable timestamp and drop out with the other such rows.
     """
     if paths[0].lower().endswith(".parquet"):
-        return spark.read.parquet(*paths)
+        return _tagged(spark.read.parquet(*paths), tag_file)
     sep, names = sniff(spark, paths[0])
     unique = [n if names.index(n) == i else f"{n}.{i}" for i, n in enumerate(names)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in unique])
-    df = spark.read.schema(schema).option("sep", sep).option("mode", "PERMISSIVE").csv(paths)
+    df = _tagged(spark.read.schema(schema).option("sep", sep).option("mode", "PERMISSIVE").csv(paths), tag_file)
     if any(p.lower().endswith((".gz", ".bz2")) for p in paths):
         # a gzip file is one task; spread its rows before the work on them
         df = df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
+def _tagged(df: DataFrame, tag_file: bool) -> DataFrame:
+    return df.withColumn("file", F.col("_metadata.file_name")) if tag_file else df
+
+
 def column_plan(df: DataFrame, profile="auto", overrides=None, column_map=None) -> ColumnPlan:
     return plan_from_map(df.columns, column_map) if column_map \
         else plan_columns(df.columns, profile, overrides)
@@ -67,11 +71,7 @@ def load_many(spark: SparkSession, paths: list[str], profile: str = "auto", over
     With `same_layout` all files are read in one scan, however many they are.
     """
     if same_layout:
-        raw = read_raw(spark, paths).withColumn("file", F.col("_metadata.file_name")) \
-            if paths[0].lower().endswith(".parquet") or not paths[0].lower().endswith((".gz", ".bz2")) \
-            else None
-        if raw is None:
-            raise ValueError("read compressed files one by one (same_layout=False)")
+        raw = read_raw(spark, paths, tag_file=True)
         order = spark.createDataFrame([(p.rsplit("/", 1)[-1], i) for i, p in enumerate(paths)],
                                       "file string, ordinal int")
         plan = column_plan(raw.drop("file"), profile, overrides, column_map)
