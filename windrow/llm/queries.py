@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windrow.llm import bpe, fingerprint, token_count, topk, url_filter
+from windrow.llm import bpe, fingerprint, near_join, token_count, topk, url_filter
 from windrow.llm.common import table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -44,7 +44,13 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op4_token_count, op5_top_k, op6_url_filter, op7_fingerprint)}
+def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_join.near_classes(table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op4_token_count, op5_top_k, op6_url_filter, op7_fingerprint,
+                                   op8_near_join)}
 
 ORACLE = {
     "op5_top_k": """
