@@ -8,13 +8,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windrow.llm import bpe, fingerprint, near_join, token_count, topk, url_filter
+from windrow.llm import bpe, fingerprint, near_join, substring, token_count, topk, url_filter
 from windrow.llm.common import table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 TOKEN_LIMIT = 4096
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each passage: where it is in a document (words) and where in an earlier one."""
+    found = substring.passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "start", "stop", F.col("ref").alias("ref_id"), "ref_start",
+                        "ref_stop", F.col("equal").alias("n_equal"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,7 +56,7 @@ def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op4_token_count, op5_top_k, op6_url_filter, op7_fingerprint,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe_round_trip, op4_token_count, op5_top_k, op6_url_filter, op7_fingerprint,
                                    op8_near_join)}
 
 ORACLE = {
