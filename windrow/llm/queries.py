@@ -8,8 +8,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windrow.llm import bpe, fingerprint, near_join, substring, token_count, topk, url_filter
-from windrow.llm.common import table
+from windrow.llm import bpe, fingerprint, near_join, quality, substring, token_count, topk, toxicity, url_filter
+from windrow.llm.common import held_out, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 TOKEN_LIMIT = 4096
@@ -56,8 +56,24 @@ def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return judged(scored, 0.5)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
+def judged(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= least).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe_round_trip, op4_token_count, op5_top_k, op6_url_filter, op7_fingerprint,
-                                   op8_near_join)}
+                                   op8_near_join, op9_toxicity, op10_quality)}
 
 ORACLE = {
     "op5_top_k": """
