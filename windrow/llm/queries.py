@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windrow.llm import bpe, fingerprint, near_join, quality, substring, token_count, topk, toxicity, url_filter
+from windrow.llm import bpe, fingerprint, mixing, near_join, quality, substring, token_count, topk, toxicity, url_filter
 from windrow.llm.common import held_out, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -31,6 +31,13 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its tokens (words), posteriors of the domains, rate and copies in the mixture."""
+    found = mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.col("tokens").cast("long").alias("n_tokens"),
+                        *[F.col(d).alias(f"p_{d}") for d in mixing.DOMAINS], "rate", "copies")
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -72,7 +79,7 @@ def judged(scored: DataFrame, least: float) -> DataFrame:
                          (F.col("score") >= least).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe_round_trip, op4_token_count, op5_top_k, op6_url_filter, op7_fingerprint,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe_round_trip, op3_mixing, op4_token_count, op5_top_k, op6_url_filter, op7_fingerprint,
                                    op8_near_join, op9_toxicity, op10_quality)}
 
 ORACLE = {
