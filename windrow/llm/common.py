@@ -29,7 +29,7 @@ def scratch(spark: SparkSession) -> str:
 class Recent(dict):
     """Results of `make` for the keys met most recently, in two generations of `most` keys each."""
 
-    def __init__(self, make: Callable, most: int = 1 << 18):
+    def __init__(self, make: Callable, most: int = 1 << 17):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 

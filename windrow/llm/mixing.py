@@ -29,8 +29,8 @@ LEARNT = 20_000
 EVIDENCE = 40.0
 SMOOTH = 2000.0  # terms of the common distribution added to each domain
 PULL = 1e-3
-STEPS = 40
-CLOSE = 1e-7
+STEPS = 25
+CLOSE = 1e-6
 FEW = 1 << 20  # labels that are broadcast at most; beyond, they are joined by a shuffle
 
 

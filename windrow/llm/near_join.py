@@ -78,7 +78,7 @@ def frequent(rows: DataFrame, rule: Rule) -> np.ndarray:
                 total += len(s)
                 held.append(s)
                 waiting += len(s)
-                if waiting > 1 << 23:
+                if waiting > 1 << 21:
                     yield out(held)
                     held, waiting = [], 0
         if held:

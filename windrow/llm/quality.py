@@ -44,7 +44,7 @@ def places(word: str) -> tuple[int, int]:
 
 class Terms:
     def __init__(self):
-        self.known: Recent[str, tuple[int, int]] = Recent(places)
+        self.known: Recent[str, tuple[int, int]] = Recent(places, 1 << 16)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Places and counts of a text's terms."""
