@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: a word is a run of characters that are not ASCII white space; `bytes.split()` cuts in the same places
 WORD = r"[^\x20\x09-\x0D]+"
+ROWS = 500  # of a batch
 _shipped: set[str] = set()  # applications
 
 
@@ -29,7 +30,7 @@ def scratch(spark: SparkSession) -> str:
 class Recent(dict):
     """Results of `make` for the keys met most recently, in two generations of `most` keys each."""
 
-    def __init__(self, make: Callable, most: int = 1 << 17):
+    def __init__(self, make: Callable, most: int = 1 << 16):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
@@ -62,8 +63,13 @@ class Landing:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors' Python this package, once per application, so that they need no installed copy."""
+    """Gives the executors' Python this package, once per application, so that they need no installed copy.
+
+    Batches for Python get ROWS rows where the session leaves Spark's setting alone: long texts count by the batch.
+    """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     if context.applicationId in _shipped:
         return
     package = Path(__file__).parents[1]
