@@ -122,15 +122,16 @@ def profiles(rows: DataFrame, rule: Rule, often: np.ndarray) -> DataFrame:
 
 
 def keys(sets: DataFrame, rule: Rule, longest: int) -> DataFrame:
-    """key, doc: subsets of two for sets with a beginning of up to `longest`, single shingles for larger ones."""
+    """key, doc, single: subsets of two for sets with a beginning of up to `longest`, single shingles for larger ones."""
     p, n = F.size("first") - 1, F.col("n")
     smallest = -(-longest * rule.den // (rule.den - rule.num))  # size of the smallest large set
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("first") - 1), lambda i: F.transform(
         F.sequence(i + 1, F.size("first")), lambda j: F.xxhash64(
             F.element_at("first", i), F.element_at("first", j)))))
-    light = sets.where((p <= longest) & (F.size("first") >= 2)).select(F.explode(pairs).alias("key"), "doc")
+    light = sets.where((p <= longest) & (F.size("first") >= 2)).select(
+        F.explode(pairs).alias("key"), "doc", F.lit(False).alias("single"))
     heavy = sets.where((p > longest) | (n >= rule.least(smallest))).select(
-        F.explode(beginning()).alias("key"), "doc")
+        F.explode(beginning()).alias("key"), "doc", F.lit(True).alias("single"))
     return light.unionByName(heavy)
 
 
@@ -165,12 +166,13 @@ def linked(pairs: DataFrame, whole: DataFrame, rule: Rule) -> DataFrame:
     return joined.where(shared * (rule.num + rule.den) >= (F.size("a") + F.size("b")) * rule.num).select("x", "y")
 
 
-def possible(a_n: Column, b_n: Column, a: Column, b: Column, rule: Rule) -> Column:
-    """Whether sets of these sizes and beginnings can link: what the beginnings don't show is all shared at best."""
+def possible(a_n: Column, b_n: Column, a_p: Column, b_p: Column, rule: Rule) -> Column:
+    """Whether sets of these sizes, with beginnings of these lengths, can link: `first` and `start` hold what the
+    beginnings could share, and all that follows them is shared at best."""
     needed = F.ceil((a_n + b_n) * rule.num / F.lit(rule.num + rule.den) - 1e-9)
-    rest = F.greatest(a_n - F.size(a), b_n - F.size(b))
+    rest = F.greatest(a_n - a_p, b_n - b_p)
     sizes = F.least(a_n, b_n) * rule.den >= F.greatest(a_n, b_n) * rule.num
-    return sizes & (F.size(F.array_intersect(a, b)) + rest >= needed)
+    return sizes & (F.size(F.array_intersect("first", "start")) + rest >= needed)
 
 
 def blocks(members: DataFrame) -> DataFrame:
@@ -187,9 +189,9 @@ def open_members(held: DataFrame, rule: Rule) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         n, cls = rows["n"].to_numpy(), rows["cls"].to_numpy()
         firsts = [np.asarray(x, np.int64) for x in rows["first"]]
-        p = np.array([len(x) for x in firsts])
+        p = rows["p"].to_numpy()
         tokens = np.concatenate(firsts)
-        owner = np.repeat(np.arange(len(n)), p)
+        owner = np.repeat(np.arange(len(n)), [len(x) for x in firsts])
         _, token, times = np.unique(tokens, return_inverse=True, return_counts=True)
         shared = np.zeros((len(n), len(n)), np.float32)
         several = times[token] > 1
@@ -258,16 +260,21 @@ def near_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 10
 
     total, kinds = sets.select(F.explode(beginning()).alias("t")).agg(F.count("*"), F.approx_count_distinct("t")).first()
     longest = max(1, int(1 + 2 * total / max(1, kinds)))
-    of_key = Window.partitionBy("key")
-    lists = (keys(sets, rule, longest).withColumns({"members": F.count("*").over(of_key),
-                                                    "leader": F.min("doc").over(of_key)})
-             .where("members > 1").select("leader", "doc").where("leader <> doc").distinct())
-    lists = landing.land(lists, "lists")
-
-    own = sets.select("doc", "n", beginning().alias("first"))
-    lead = own.select(F.col("doc").alias("leader"), F.col("n").alias("m"), F.col("first").alias("start"))
+    of_key = Window.partitionBy("key", "single")
+    met = (keys(sets, rule, longest).withColumns({"members": F.count("*").over(of_key), "leader": F.min("doc").over(of_key)})
+           .where("members > 1").select("key", "single", "leader", "doc"))
+    met = landing.land(met, "met")
+    lists = landing.land(met.select("leader", "doc").where("leader <> doc").distinct(), "lists")
+    # of a beginning only shingles that several sets have can be shared; small sets keep theirs, as not all are listed
+    listed = met.where("single").groupBy("doc").agg(F.collect_set("key").alias("listed"))
+    own = sets.join(met.select("doc").distinct(), "doc", "left_semi").join(listed, "doc", "left").select(
+        "doc", "n", F.size(beginning()).alias("p"),
+        F.when(F.size("first") - 1 <= longest, beginning()).otherwise(
+            F.coalesce("listed", F.array().cast("array<bigint>"))).alias("first"))
+    own = landing.land(own, "own")
+    lead = own.select(F.col("doc").alias("leader"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("first").alias("start"))
     stars = (lists.join(own, "doc").join(lead, "leader")
-             .where(possible(F.col("n"), F.col("m"), F.col("first"), F.col("start"), rule))
+             .where(possible(F.col("n"), F.col("m"), F.col("p"), F.col("q"), rule))
              .select(F.col("leader").alias("x"), F.col("doc").alias("y")))
     stars = landing.land(stars, "stars")
     ids = stars.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
@@ -279,12 +286,12 @@ def near_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 10
     members = (lists.join(classes.withColumnRenamed("component", "cls"), "doc", "left")
                .withColumn("cls", F.coalesce("cls", "doc")))
     mixed = members.groupBy("leader").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b")
-    remaining = members.join(mixed.select("leader"), "leader", "left_semi").join(own, "doc")
-    opened = landing.land(open_members(blocks(remaining), rule), "open")
+    remaining = members.join(mixed.select("leader"), "leader", "left_semi").join(own.select("doc", "n"), "doc")
+    opened = landing.land(open_members(blocks(remaining).join(own.drop("n"), "doc"), rule), "open")
     ids = opened.select("doc").distinct()
     whole = landing.land(whole_sets(rows, ids, sets, rule), "whole-2")
     more = landing.land(block_links(opened.join(whole, "doc"), rule), "links-2")
-    landing.drop("whole-2", "open", "stars", "lists")
+    landing.drop("whole-2", "open", "stars", "lists", "met", "own", "sets")
 
     # texts that share an id link their sets
     same = prof.where((F.col("n") > 0)).join(reps, "sig").select("doc", "rep")
