@@ -206,6 +206,12 @@ def open_members(held: DataFrame, rule: Rule) -> DataFrame:
         fits = (np.minimum(a, b) * rule.den >= np.maximum(a, b) * rule.num) & (cls[:, None] != cls[None, :])
         rest = np.maximum(a - p[:, None], b - p[None, :])
         fits &= shared + rest >= rule.needed(a, b)
+        # a pair is compared only where the list of its least shared shingle is; small sets share subsets instead
+        mine = [set(x) if x is not None else set() for x in rows["mine"]]
+        small = rows["small"].to_numpy()
+        for x, y in zip(*np.nonzero(np.triu(fits, 1))):
+            if not (small[x] and small[y]) and np.intersect1d(firsts[x], firsts[y]).min() not in mine[x]:
+                fits[x, y] = fits[y, x] = False
         return rows.loc[fits.any(axis=1), ["leader", "i", "j", "doc", "cls"]]
 
     return held.groupBy("leader", "i", "j").applyInPandas(run, "leader long, i int, j int, doc long, cls long")
@@ -267,9 +273,10 @@ def near_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 10
     lists = landing.land(met.select("leader", "doc").where("leader <> doc").distinct(), "lists")
     # of a beginning only shingles that several sets have can be shared; small sets keep theirs, as not all are listed
     listed = met.where("single").groupBy("doc").agg(F.collect_set("key").alias("listed"))
+    small = F.size("first") - 1 <= longest
     own = sets.join(met.select("doc").distinct(), "doc", "left_semi").join(listed, "doc", "left").select(
-        "doc", "n", F.size(beginning()).alias("p"),
-        F.when(F.size("first") - 1 <= longest, beginning()).otherwise(
+        "doc", "n", F.size(beginning()).alias("p"), small.alias("small"),
+        F.when(small, beginning()).otherwise(
             F.coalesce("listed", F.array().cast("array<bigint>"))).alias("first"))
     own = landing.land(own, "own")
     lead = own.select(F.col("doc").alias("leader"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("first").alias("start"))
@@ -286,7 +293,9 @@ def near_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 10
     members = (lists.join(classes.withColumnRenamed("component", "cls"), "doc", "left")
                .withColumn("cls", F.coalesce("cls", "doc")))
     mixed = members.groupBy("leader").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b")
-    remaining = members.join(mixed.select("leader"), "leader", "left_semi").join(own.select("doc", "n"), "doc")
+    mine = met.where("single").groupBy("leader", "doc").agg(F.collect_set("key").alias("mine"))
+    remaining = (members.join(mixed.select("leader"), "leader", "left_semi").join(own.select("doc", "n"), "doc")
+                 .join(mine, ["leader", "doc"], "left"))
     opened = landing.land(open_members(blocks(remaining).join(own.drop("n"), "doc"), rule), "open")
     ids = opened.select("doc").distinct()
     whole = landing.land(whole_sets(rows, ids, sets, rule), "whole-2")
