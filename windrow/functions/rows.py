@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -36,14 +35,10 @@ def unpivot_row(one_row: DataFrame, fields: list[tuple], names: tuple[str, ...])
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for landed tables: spark.checkpoint.dir; a temporary one only in local mode."""
+    """Shared folder for landed tables: spark.checkpoint.dir, or the folder the context was given for checkpoints."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
+    if not base:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="windrow-")
-    spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
