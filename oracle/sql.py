@@ -555,14 +555,15 @@ q("rose_freq", f"SELECT dd + 0.0 AS dir_deg, vv + 0.0 AS ws_bin, {rs('freq', 8)}
 CLASSES = (0, 3, 6, 9, 12, 15, 20, 40)
 q("wind_rose_classes", "SELECT CAST(least(floor((dir_deg % 360)/30.0), 11) AS BIGINT) AS sector, " + ", ".join(
     r(f"100.0*count(*) FILTER (ws >= {lo} AND ws < {hi})/sum(count(*)) OVER ()", f"ws_{lo}_{hi}", 6)
-    for lo, hi in zip(CLASSES, CLASSES[1:])) + " FROM winds WHERE dir_deg IS NOT NULL GROUP BY 1")
+    for lo, hi in zip(CLASSES, CLASSES[1:])) + ", " + r(
+    "100.0*count(*) FILTER (ws >= 40)/sum(count(*)) OVER ()", "ws_40_up", 6) + " FROM winds WHERE dir_deg IS NOT NULL GROUP BY 1")
 q("wind_summary", f"""
 SELECT {r('avg(ws)', 'mean_ws', 6)}, {r('100.0*avg(CAST(ws < 0.5 AS INTEGER))', 'calm_pct', 6)}, count(*) AS n FROM winds""")
 q("wind_monthly", f"SELECT month, {r('avg(ws)', 'ws_mps', 6)} FROM winds GROUP BY month")
 q("wind_diurnal", f"SELECT slot % 144 // 6 AS hour, {r('avg(ws)', 'ws_mps', 6)} FROM winds GROUP BY 1")
 CTE["hist"] = """
-SELECT s.i, coalesce(b.n, 0) AS n FROM range(41) s(i)
-LEFT JOIN (SELECT CAST(least(floor(ws), 40) AS BIGINT) AS i, count(*) AS n FROM winds WHERE ws BETWEEN 0 AND 41 GROUP BY 1) b USING (i)"""
+SELECT s.i, coalesce(b.n, 0) AS n FROM range(42) s(i)
+LEFT JOIN (SELECT CAST(least(floor(ws), 41) AS BIGINT) AS i, count(*) AS n FROM winds WHERE ws >= 0 GROUP BY 1) b USING (i)"""
 q("wind_histogram", "SELECT CAST(i+0.5 AS DOUBLE) AS bin_center, n AS \"count\" FROM hist")
 q("daily_histogram", f"""
 SELECT CAST(least(floor((ws-lo)/((hi-lo)/40)), 39) AS BIGINT) AS bin, count(*) AS "count",
@@ -595,10 +596,10 @@ ORDER BY md5(concat(turbine, '|', slot)), turbine, slot LIMIT 30000""")
 qw("weibull_fit", f"""
 SELECT key AS turbine, {r('mu', 'mean_ws', 5)}, {r('sd', 'sd_ws', 5)}, n, {r('k', 'weibull_k', 5)}, {r('a', 'weibull_a', 5)}
 FROM wb""", MOM_T)
-q("weibull_pdf", f"""
-SELECT CAST(i+0.5 AS DOUBLE) AS bin_center, {r('h.n/CAST(w.n AS DOUBLE)', 'observed', 8)},
-       {r('(2.0/w.a)*((i+0.5)/w.a)*exp(-pow((i+0.5)/w.a,2))', 'pdf', 8)}
-FROM hist h, (SELECT avg(ws)*2.0/sqrt(pi()) AS a, count(*) AS n FROM winds) w""")
+qw("weibull_pdf", f"""
+SELECT CAST(i+0.5 AS DOUBLE) AS bin_center, {r('h.n/CAST(w.n AS DOUBLE)', 'observed', 6)},
+       {r('(wb.k/wb.a)*pow((i+0.5)/wb.a,wb.k-1)*exp(-pow((i+0.5)/wb.a,wb.k))', 'pdf', 6)}
+FROM hist h, wb, (SELECT count(*) AS n FROM winds) w""", MOM_1)
 CTE["vpts"] = f"""
 SELECT t.v, {pw('g', 't.v')} AS p, CASE WHEN i IN (0, 1999) THEN 0.5 ELSE 1.0 END AS wt
 FROM (SELECT i, 0.05 + i*(44.9/1999) AS v FROM range(2000) r(i)) t JOIN gridc g ON g.cell = {cell('t.v')}"""

@@ -121,20 +121,68 @@ def test_single_letter_power_and_names(spark, tmp_path):
     assert plan_columns(["Zeit timestamp", "WTG", "Power", "ws", "TurbineState"]).fields["status"] == "TurbineState"
 
 
+def test_nacelle_before_ambient_direction():
+    shared = ["Timestamp", "WTG", "Power", "Wind Speed"]
+    found = plan_columns([*shared, "Wind Direction", "Nacelle Position"], "generic").fields
+    assert (found["dir"], found["wind_dir"]) == ("Nacelle Position", "Wind Direction")
+    found = plan_columns([*shared, "WindDir", "Nacelle"], "nordex").fields
+    assert (found["dir"], found["wind_dir"]) == ("Nacelle", "WindDir")
+
+
 def test_several_files_later_wins(spark, tmp_path):
     h = ["Timestamp", "WTG", "Active Power (kW)", "Wind Speed (m/s)"]
     stamps = [(T0 + dt.timedelta(minutes=10 * i)) for i in range(30)]
     a = write(tmp_path, "a.csv", h, [[t, "T1", 500 + i, 6] for i, t in enumerate(stamps[:20])])
     b = write(tmp_path, "b.csv", h, [[t, "T1", 900 + i, 7] for i, t in enumerate(stamps[10:])])
-    for same in (False, True):
-        df = load_many(spark, [a, b], same_layout=same)
-        merged = {r["slot"]: r for r in merge_files(df).collect()}
-        assert len(merged) == 30
-        assert sum(r["ws"] == 7 for r in merged.values()) == 20
-        prof = file_profile(df)
-        assert {(r["file"], r["rows"]) for r in prof.collect()} == {("a.csv", 20), ("b.csv", 20)}
-        o = file_overlap(prof).collect()
-        assert len(o) == 1 and o[0]["overlap_start"] == stamps[10] and o[0]["overlap_end"] == stamps[19]
+    df = load_many(spark, [a, b])
+    merged = {r["slot"]: r for r in merge_files(df).collect()}
+    assert len(merged) == 30
+    assert sum(r["ws"] == 7 for r in merged.values()) == 20
+    prof = file_profile(df)
+    assert {(r["file"].rsplit("/", 1)[-1], r["rows"]) for r in prof.collect()} == {("a.csv", 20), ("b.csv", 20)}
+    o = file_overlap(prof).collect()
+    assert len(o) == 1 and o[0]["overlap_start"] == stamps[10] and o[0]["overlap_end"] == stamps[19]
+
+
+HEADER = ["Timestamp", "WTG", "Active Power (kW)", "Wind Speed (m/s)"]
+
+
+def test_files_are_known_by_their_paths(spark, tmp_path):
+    for folder, n in (("a", 1), ("b c", 2)):
+        (tmp_path / folder).mkdir()
+        write(tmp_path, f"{folder}/my file[1].csv", HEADER, [[T0 + dt.timedelta(hours=i), "T1", 500, 6] for i in range(n)])
+    paths = [str(tmp_path / x / "my file[1].csv") for x in ("b c", "a")]
+    df = load_many(spark, paths)
+    assert sorted((r["ordinal"], r["file"].endswith(paths[r["ordinal"]])) for r in df.collect()) == [(0, True), (0, True), (1, True)]
+    assert load_many(spark, [str(tmp_path)]).count() == 3  # a folder
+    assert load_many(spark, [str(tmp_path / "*" / "*.csv")]).count() == 3
+
+
+def test_column_orders_and_long_preambles(spark, tmp_path):
+    a = write(tmp_path, "a.csv", HEADER, [[T0, "T1", 500, 6]], ",", [f"remark {i}" for i in range(100)])
+    b = write(tmp_path, "b.csv", HEADER[::-1], [[7, 900, "T2", T0]], ";")
+    got = {r["turbine"]: (r["power_kw"], r["ws"]) for r in load_many(spark, [a, b]).collect()}
+    assert got == {"T1": (500.0, 6.0), "T2": (900.0, 7.0)}
+    c = tmp_path / "c.csv"
+    c.write_text("1;2;3\n")
+    with pytest.raises(ValueError, match="c.csv"):
+        load_many(spark, [a, str(c)])
+    with pytest.raises(FileNotFoundError):
+        load_many(spark, [a, str(tmp_path / "none.csv")])
+
+
+def test_one_decision_for_files_of_one_header(spark, tmp_path):
+    a = write(tmp_path, "d05.csv", HEADER, [["05.01.2024 00:00", "T1", 40, 4], ["05.01.2024 00:10", "T1", 60, 4]])
+    b = write(tmp_path, "d25.csv", HEADER, [["25.01.2024 00:00", "T1", 1800, 11]])
+    got = sorted((r["timestamp"], r["power_kw"]) for r in load_many(spark, [a, b]).collect())
+    assert got == [(dt.datetime(2024, 1, 5), 40.0), (dt.datetime(2024, 1, 5, 0, 10), 60.0), (dt.datetime(2024, 1, 25), 1800.0)]
+
+
+def test_parquet_folder_without_suffix(spark, tmp_path):
+    rows = [(r["t"], r["id"], r["p"], r["w"]) for r in base()]
+    path = str(tmp_path / "x")
+    spark.createDataFrame(rows, "timestamp timestamp_ntz, wtg string, power double, ws double").write.parquet(path)
+    assert load_scada(spark, path)[0].count() == len(rows)
 
 
 def test_auxiliary_tables(spark, tmp_path):

@@ -35,10 +35,7 @@ def _pair_deficit(dx: Column, dy: Column, ct: Column, p: FarmParams) -> Column:
     inner = 1.0 - ct / (8.0 * F.pow(sigma / d, 2))
     centre = F.when(inner <= 0, 1.0).otherwise(1.0 - F.sqrt(F.greatest(inner, F.lit(0.0))))
     t2 = F.pow(F.lit(d / 2.0) / sigma, 2) / 2.0            # (R / (sqrt(2) sigma))^2
-    rotor = F.when(t2 > 1600, 0.0).otherwise((1.0 - F.exp(-t2)) / t2)
-    lateral2 = F.pow(dy / sigma, 2) / 2.0
-    shadow = F.when(lateral2 < 1600, F.exp(-lateral2) * rotor).otherwise(0.0)
-    return centre * shadow
+    return centre * F.exp(-F.pow(dy / sigma, 2) / 2.0) * (1.0 - F.exp(-t2)) / t2
 
 
 def turbine_deficits(layout: DataFrame, rose: DataFrame, p: FarmParams, ct_curve=THRUST) -> DataFrame:

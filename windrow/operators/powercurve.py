@@ -74,7 +74,7 @@ def curve_delta(flagged: DataFrame, nodes: DataFrame, p: FarmParams) -> DataFram
     """Measured against warranted power per bin with records."""
     bt = node_lookup(power_curve_farm(flagged, p), nodes, "bin_center", "warranted_kw")
     delta = F.col("mean_power") - F.col("warranted_kw")
-    return (bt.filter((F.col("bin_center") >= p.cut_in_mps) & (F.col("bin_center") <= 25.5)
+    return (bt.filter((F.col("bin_center") >= p.cut_in_mps) & (F.col("bin_center") <= p.cut_out_mps + 0.5)
                       & (F.col("count") > 0))
             .select("bin_center", F.col("count").alias("records"),
                     F.col("mean_power").alias("measured_kw"), "warranted_kw",

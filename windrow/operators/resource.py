@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from windrow.functions.num import gamma, weibull_pdf, weibull_shape
@@ -35,13 +33,14 @@ def rose_freq(rose: DataFrame) -> DataFrame:
 
 
 def wind_rose_classes(flagged: DataFrame, sectors: int = 12) -> DataFrame:
-    """Share of records (percent) per sector and speed class."""
+    """Share of records (percent) per sector and speed class; the last class is open."""
     df = valid_wind(flagged).filter("dir_deg is not null")
     width = 360.0 / sectors
     sector = F.least(F.floor(F.pmod(F.col("dir_deg"), F.lit(360.0)) / width), F.lit(sectors - 1))
     counts = df.groupBy(sector.cast("int").alias("sector")).agg(
         *[F.sum(((F.col("ws") >= lo) & (F.col("ws") < hi)).cast("int")).alias(f"ws_{lo}_{hi}")
-          for lo, hi in zip(SPEED_CLASSES, SPEED_CLASSES[1:])], F.count(F.lit(1)).alias("n"))
+          for lo, hi in zip(SPEED_CLASSES, SPEED_CLASSES[1:])],
+        F.sum((F.col("ws") >= SPEED_CLASSES[-1]).cast("int")).alias(f"ws_{SPEED_CLASSES[-1]}_up"), F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy(F.lit(1)))          # one row per sector
     return counts.select("sector", *[(100.0 * F.col(c) / total).alias(c)
                                      for c in counts.columns if c.startswith("ws_")])
@@ -63,10 +62,10 @@ def wind_diurnal(flagged: DataFrame) -> DataFrame:
 
 
 def wind_histogram(flagged: DataFrame) -> DataFrame:
-    """Counts per 1 m/s from 0 to 41; the last bin includes its upper edge."""
-    spine = flagged.sparkSession.range(41).select(F.col("id").cast("int").alias("bin"))
-    counts = (valid_wind(flagged).filter("ws >= 0 and ws <= 41")
-              .groupBy(F.least(F.floor("ws"), F.lit(40)).cast("int").alias("bin"))
+    """Counts per 1 m/s; the last bin, from 41, is open."""
+    spine = flagged.sparkSession.range(42).select(F.col("id").cast("int").alias("bin"))
+    counts = (valid_wind(flagged).filter("ws >= 0")
+              .groupBy(F.least(F.floor("ws"), F.lit(41)).cast("int").alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
     return (spine.join(counts, "bin", "left").na.fill(0, ["count"])
             .select((F.col("bin") + 0.5).alias("bin_center"), "count"))
@@ -107,8 +106,8 @@ def weibull_fit(moments: DataFrame) -> DataFrame:
 
 
 def weibull_density(flagged: DataFrame) -> DataFrame:
-    """Observed density per 1 m/s next to the Rayleigh density (k = 2) of the same mean."""
-    hist = with_scalars(wind_histogram(flagged), wind_summary(flagged))
-    a = F.col("mean_ws") * (2.0 / math.sqrt(math.pi))
+    """Observed density per 1 m/s next to that of the fitted Weibull distribution."""
+    fit = weibull_fit(wind_moments(flagged)).select("weibull_a", "weibull_k")
+    hist = with_scalars(with_scalars(wind_histogram(flagged), wind_summary(flagged).select("n")), fit)
     return hist.select("bin_center", (F.col("count") / F.col("n")).alias("observed"),
-                       weibull_pdf(F.col("bin_center"), a, F.lit(2.0)).alias("pdf"))
+                       weibull_pdf(F.col("bin_center"), F.col("weibull_a"), F.col("weibull_k")).alias("pdf"))

@@ -500,7 +500,7 @@ def weibull_fit(s, d):
 
 
 def weibull_pdf(s, d):
-    return out(resource.weibull_density(flagged(s, d)), 8)
+    return out(resource.weibull_density(flagged(s, d)), 6)
 
 
 # ---- wake ------------------------------------------------------------------------------------

@@ -3,41 +3,47 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from windrow.sources import vocabulary as v
 
 VALUE_KINDS = ("power", "ws", "dir", "wind_dir", "temp", "status")
+WIDE_KINDS = ("power", "ws", "dir", "temp", "status")
+BETWEEN = r"[ _\-.:/]*"  # a turbine and what is measured
+UNIT = r"(?:kwh|mwh|kw|mw|kmh|km/h|m/s|deg|c)?"
 
 
 def normalise(name: str) -> str:
-    bare = re.sub(r"[(\[].*?[)\]]", "", str(name).strip().lower())
-    return re.sub(r"\s+", "", bare)
+    return "".join(re.sub(r"\([^)\]]*[)\]]|\[[^)\]]*[)\]]", " ", str(name)).lower().split())
 
 
-def words(profile: str, overrides: dict | None = None) -> dict[str, tuple[str, ...]]:
-    """Words per kind: user overrides, then the vendor's, then the shared ones."""
-    own = v.VENDOR.get(profile, {})
-    extra = {k: tuple(normalise(w) for w in ws) for k, ws in (overrides or {}).items()}
-    return {k: extra.get(k, ()) + own.get(k, ()) + v.SHARED[k] for k in v.KINDS}
+def words(profile: str, overrides: dict | None = None) -> dict[str, list[str]]:
+    """Words per kind, the most telling first: user overrides, then the vendor's, then the generic ones."""
+    ranked = [overrides or {}, v.VENDOR.get(profile, {}), v.VENDOR["generic"]]
+    return {kind: list(dict.fromkeys(normalise(w) for source in ranked for w in source.get(kind, ())))
+            for kind in v.VENDOR["generic"]}
 
 
-def any_vendor(kind: str) -> tuple[str, ...]:
-    vendor = [w for own in v.VENDOR.values() for w in own.get(kind, ())]
-    return tuple(dict.fromkeys([*v.SHARED[kind], *vendor]))
+def any_vendor(kind: str) -> list[str]:
+    return list(dict.fromkeys(normalise(w) for own in v.VENDOR.values() for w in own.get(kind, ())))
 
 
-def detect_profile(columns: list[str], overrides: dict | None = None) -> str:
-    """The vendor whose words match the most columns; earlier vendors win ties."""
-    names = [normalise(c) for c in columns]
+def _any_of(found: Iterable[str]) -> str:
+    return "|".join(map(re.escape, sorted(found, key=len, reverse=True)))
 
-    def score(profile: str) -> int:
-        pool = [w for k, ws in words(profile, overrides).items() if k != "wind_dir" for w in ws]
-        return sum(any(w in n for w in pool) for n in names)
 
-    vendors = [p for p in v.VENDOR if p != "generic"]
-    best = max(vendors, key=score)
-    return best if score(best) else "generic"
+def detect_profile(columns: list[str], overrides: dict | None = None) -> str:
+    """The vendor whose own words are in the most columns, the first of several; generic if there is none."""
+    header = "\n".join(map(normalise, columns))
+    hits = {}
+    for vendor, own in v.VENDOR.items():
+        known = {normalise(w) for source in (own, overrides or {}) for kind in own if kind != "wind_dir"
+                 for w in source.get(kind, ())}
+        hits[vendor] = len(re.findall(rf"^.*(?:{_any_of(known)}).*$", header, re.M))
+    del hits["generic"]
+    best = max(hits, key=hits.get)
+    return best if hits[best] else "generic"
 
 
 @dataclass(frozen=True)
@@ -61,80 +67,74 @@ class ColumnPlan:
         return kind in self.fields or any(kind in kinds for kinds in self.wide.values())
 
 
-def _find(columns, wanted, taken=()) -> str | None:
-    for w in wanted:
+class Header:
+    """Bare names of the columns that have not been given away yet."""
+
+    def __init__(self, columns: Iterable[str]):
+        self.free = {c: normalise(c) for c in columns}
+
+    def seek(self, wanted: Iterable[str], but: Iterable[str] = ()) -> str | None:
+        """The column with the first of the words; the first such column."""
+        hits = ((rank, place, c) for place, (c, bare) in enumerate(self.free.items()) if c not in but
+                for rank, w in enumerate(wanted) if w and w in bare)
+        return min(hits, default=(0, 0, None))[2]
+
+    def take(self, *columns: str) -> None:
         for c in columns:
-            if c not in taken and w and w in normalise(c):
-                return c
-    return None
+            self.free.pop(c, None)
 
 
-def _timestamp_columns(columns, vocab) -> tuple[str, ...]:
-    stamp = _find(columns, ("timestamp", "datetime")) or _find(columns, vocab["timestamp"])
-    if stamp and any(w in normalise(stamp) for w in ("timestamp", "datetime")):
-        return (stamp,)
-    date = _find(columns, ("date",))
-    time = _find(columns, ("time",), {date} if date else ())
+def _timestamp_columns(header: Header, vocab: dict[str, list[str]]) -> tuple[str, ...]:
+    whole = header.seek(("timestamp", "datetime"))
+    date = header.seek(("date",))
+    time = header.seek(("time",), {date})
+    if whole:
+        return (whole,)
     if date and time:
-        return (date, time)
-    one = stamp or date
+        return date, time
+    one = header.seek(vocab["timestamp"]) or date
     return (one,) if one else ()
 
 
-def split_wide_name(name: str, vocab) -> tuple[str, str] | None:
-    """("t01", "power") for "T01 Active Power (kW)"; None if the name carries no turbine."""
-    norm = normalise(name)
-    known = sorted(((w, k) for k in ("status", "temp", "dir", "ws", "power") for w in vocab[k]
-                    if len(w) >= 2), key=lambda wk: -len(wk[0]))
-    for w, kind in known:
-        at = norm.find(w)
-        tid = norm[:max(at, 0)].strip(" _-.:/")
-        if at > 0 and tid:
-            return tid, kind
-    bare = re.sub(r"(kwh|mwh|kw|mw|kmh|km/h|m/s|deg|c)$", "", norm)
-    for ending, kind in v.ENDINGS:
-        tid = bare[:-len(ending)].strip(" _-.:/")
-        if bare.endswith(ending) and tid:
-            return tid, kind
-    return None
+def wide_columns(header: Header, vocab: dict[str, list[str]]) -> dict[str, dict[str, str]]:
+    """Turbine -> kind -> column for names such as "T01 Active Power (kW)", "T01_p" or "T02ws"."""
+    kinds = {w: kind for kind in reversed(WIDE_KINDS) for w in vocab[kind] if len(w) >= 2}
+    endings = dict(v.ENDINGS)
+    inside = re.compile(rf"(?P<turbine>.*?[^ _\-.:/]){BETWEEN}(?P<word>{_any_of(kinds)})")
+    at_end = re.compile(rf"(?P<turbine>.*?[^ _\-.:/]){BETWEEN}(?P<word>{_any_of(endings)}){UNIT}$")
+    wide: dict[str, dict[str, str]] = {}
+    for c, bare in header.free.items():
+        if hit := inside.match(bare):
+            wide.setdefault(hit["turbine"].lstrip(" _-.:/"), {})[kinds[hit["word"]]] = c
+        elif hit := at_end.match(bare):
+            wide.setdefault(hit["turbine"].lstrip(" _-.:/"), {})[endings[hit["word"]]] = c
+    return wide
 
 
 def plan_columns(columns: list[str], profile: str = "auto", overrides: dict | None = None) -> ColumnPlan:
     """Resolves the columns of an export; raises ValueError naming them if power or wind is missing."""
     if profile in (None, "auto"):
         profile = detect_profile(columns, overrides)
-    vocab = words(profile, overrides)
-    stamp = _timestamp_columns(columns, vocab)
-    taken = set(stamp)
+    vocab, header = words(profile, overrides), Header(columns)
+    stamp = _timestamp_columns(header, vocab)
+    header.take(*stamp)
     # the state column first, or "TurbineState" would be taken for the turbine
-    status = _find(columns, any_vendor("status") + vocab["status"], taken)
-    turbine = _find(columns, any_vendor("turbine") + vocab["turbine"], taken | {status})
+    status = header.seek([*any_vendor("status"), *vocab["status"]])
+    turbine = header.seek([*any_vendor("turbine"), *vocab["turbine"]], {status})
     fields: dict[str, str] = {}
-    wide: dict[str, dict[str, str]] = {}
-    if turbine is None:
-        for c in columns:
-            hit = split_wide_name(c, vocab) if c not in taken else None
-            if hit:
-                wide.setdefault(hit[0], {})[hit[1]] = c
+    wide = {} if turbine else wide_columns(header, vocab)
     if not wide:
-        if turbine:
-            taken.add(turbine)
-        for kind in VALUE_KINDS:
-            c = _find(columns, vocab[kind], taken)
-            if c:
-                fields[kind] = c
-                taken.add(c)
-        curt = _find(columns, v.CURTAILMENT, taken)
-        if curt:
-            fields["curtailment"] = curt
-            taken.add(curt)
-        for kind, ws in v.FALLBACK.items():
-            c = None if kind in fields else _find(columns, ws, taken)
-            if c is None and kind == "power" and kind not in fields:
-                c = next((x for x in columns if x not in taken and normalise(x) == "p"), None)
+        header.take(turbine)
+        wanted = [*((k, vocab[k]) for k in VALUE_KINDS), ("curtailment", v.CURTAILMENT), *v.FALLBACK.items()]
+        for kind, ws in wanted:
+            if kind in fields:
+                continue
+            c = header.seek(ws)
+            if c is None and kind == "power" and ws is v.FALLBACK["power"]:
+                c = next((x for x, bare in header.free.items() if bare == "p"), None)
             if c:
                 fields[kind] = c
-                taken.add(c)
+                header.take(c)
     plan = ColumnPlan(profile, stamp, turbine, fields, wide)
     for kind, label in (("power", "power"), ("ws", "wind speed")):
         if not plan.has(kind):

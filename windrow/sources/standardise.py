@@ -65,7 +65,7 @@ def day_first_decision(text: Column) -> Column:
 
 def status_code(c: Column) -> Column:
     """Code of a text state; numbers pass through, unknown words become NULL."""
-    table = F.create_map(*[F.lit(x) for code, ws in v.STATUS_WORDS.items() for w in ws for x in (w, code)])
+    table = F.create_map(*[F.lit(x) for word_and_code in v.STATUS_WORDS.items() for x in word_and_code])
     word = F.lower(F.trim(c.cast("string")))
     return F.coalesce(F.try_element_at(table, word), number(c).try_cast("int"))
 
