@@ -38,6 +38,9 @@ class Recent(dict):
         """For keys that `get` doesn't have."""
         if (out := self.old.get(key)) is None:
             out = self.make(key)
+        return self.keep(key, out)
+
+    def keep(self, key, out):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
