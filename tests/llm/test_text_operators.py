@@ -47,6 +47,23 @@ def test_bpe_round_trip(spark, odd, none):
     assert bpe.encode(none, path).count() == 0
 
 
+def test_bpe_many_at_a_time_as_one_by_one():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, r = Tokenizer.from_file(path), random.Random(8)
+    with open(path, "rb") as f:
+        codec = bpe.Codec(f.read())
+    for n in (1, 2, 3, 7, 8, 9, 16, 17, 33, 63, 64):  # on both sides of a tree's size
+        pieces = ["".join(r.choice("etaoins") for _ in range(n)) for _ in range(200)] + ["a" * n, "ab" * (n // 2) + "a" * (n % 2)]
+        leaves = max(2, 1 << (n - 1).bit_length())
+        assert bpe.merge_many([p.encode() for p in pieces], leaves, codec) == [codec.piece(p) for p in pieces]
+    texts = ["".join(r.choice("aebthin s'0é,漢\n\t") for _ in range(r.randint(0, 300))) for _ in range(500)]
+    texts += ["a" * n for n in (bpe.SHORT - 1, bpe.SHORT, bpe.SHORT + 1)] + [" b" * bpe.GROUP, "", "after a long text"]
+    got = list(codec.encode_all(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [
+        e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert list(codec.encode_all([])) == [] and list(codec.encode_all([None])) == [b""]
+
+
 def test_token_count(spark, odd, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
