@@ -173,6 +173,17 @@ def test_passages(spark, odd, none):
     assert substring.passages(none).count() == 0
 
 
+def test_first_and_previous_place_of_frequent_seeds(spark):
+    shared = prose(60, 5)
+    text = {i: " ".join(prose(15, 5000 + i) + shared + prose(15, 6000 + i)) for i in range(110)}
+    made = lambda ids: spark.createDataFrame([(i, text[i]) for i in ids], "doc_id long, text string")
+    # five early copies by themselves, fewer than a task must see
+    df = made(range(5)).coalesce(1).union(made(range(5, 110)).coalesce(1))
+    got = {(r.doc, r.ref) for r in substring.passages(df).collect()}
+    assert got == {(i, 0) for i in range(1, 110)} | {(i, i - 1) for i in range(2, 110)}
+    assert got == {(r.doc, r.ref) for r in substring.passages(df.repartition(30)).collect()}
+
+
 def test_chains_take_the_best_order():
     a = np.array([0, 5, 10, 15, 400, 405])
     b = np.array([50, 55, 20, 65, 90, 95])
