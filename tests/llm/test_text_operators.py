@@ -197,6 +197,21 @@ def test_passage_of_phrases_that_are_common_by_themselves(spark):
     assert (50, 5, 65, 20, 9) in got
 
 
+def test_passages_with_many_changed_words(spark):
+    texts, kinds, r = [], {}, random.Random(31)
+    for g in range(120):
+        shared = prose(60, 3000 + g)
+        every = (5, 6, 8, 10)[g % 4] if g < 80 else 0
+        fuzzy = [f"z{g}-{i}" if (i % every == every - 1 if every else r.random() < 0.12) else w for i, w in enumerate(shared)]
+        texts += [prose(20, 4000 + g) + shared + prose(20, 4200 + g), prose(20, 4400 + g) + fuzzy + prose(20, 4600 + g)]
+        kinds[2 * g + 1] = every
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc for r in substring.passages(df).collect() if r.ref == r.doc - 1 and r.start <= 25 and r.stop >= 75}
+    for every in (0, 5, 6, 8, 10):
+        of = [i for i, e in kinds.items() if e == every]
+        assert sum(i in got for i in of) >= 0.9 * len(of), every
+
+
 def test_chains_take_the_best_order():
     a = np.array([0, 5, 10, 15, 400, 405])
     b = np.array([50, 55, 20, 65, 90, 95])
