@@ -247,6 +247,21 @@ def test_classifiers_on_held_out_rows(spark):
         assert {r.score for r in module.score(docs, empty).collect()} == {0.0}
 
 
+def test_toxicity_knows_words_by_themselves(spark):
+    rows = [(i, f"common words {'vile' if i % 2 else 'kind'} here") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    kinds = "doc_id long, text string"
+    model = toxicity.fit(spark.createDataFrame(rows, kinds), labels)
+    # two million words that are in one document each: more than the table of hashes once had places
+    many = spark.range(1000, 3000).select(F.col("id").alias("doc_id"), F.expr(
+        "concat_ws(' ', transform(sequence(1, 1000), x -> concat('q', id, '-', x)))").alias("text"))
+    more = toxicity.fit(spark.createDataFrame(rows, kinds).union(many), labels)
+    assert np.array_equal(model.words, more.words) and np.array_equal(model.counts, more.counts)
+    assert set(model.words) == {toxicity.word_id(w) for w in ("common", "words", "vile", "kind", "here")}
+    vile, kind, new = more.of(["vile", "kind", "unheard"])
+    assert vile > 1 and kind < -1 and new == 0
+
+
 def test_mixture_meets_targets(spark):
     docs, labels = labelled(spark)
     targets = {"high": 0.6, "low": 0.1, "toxic": 0.3}
