@@ -277,3 +277,17 @@ def test_mixture_meets_targets(spark):
     copies = mixing.mixed(docs, mixing.rates(docs, labels, targets))
     assert copies.columns == docs.columns and copies.count() == found.copies.sum()
     assert mixing.rates(docs.where("false"), labels).count() == 0
+
+
+def test_mixture_of_weakly_separated_domains(spark):
+    r = np.random.default_rng(8)
+    p = r.dirichlet([8.4, 1.5, 0.1], 2000) * 0.3 + np.array([0.84, 0.15, 0.01]) * 0.7
+    n, goal = r.integers(1, 200, 2000).astype(float), np.array([0.95, 0.04, 0.01])
+    held = spark.createDataFrame([(1, *map(float, x)) for x in np.column_stack([n, p])],
+                                 "rows int, tokens double, high double, low double, toxic double")
+    targets = dict(zip(mixing.DOMAINS, goal.tolist()))
+    x = held.select("tokens", *mixing.DOMAINS, mixing.fitted(held, targets).alias("rate")).toPandas()
+    n, p, x = x.tokens.to_numpy(), x[list(mixing.DOMAINS)].to_numpy(), x.rate.to_numpy()
+    # no slope is left: by the definition of the least
+    miss = ((n * x) @ p / n.sum() - goal) / (n @ p / n.sum())
+    assert np.allclose(x, np.maximum(0, 1 - p @ miss / mixing.PULL), atol=0.02)

@@ -5,8 +5,9 @@
   the text's words, weighed as EVIDENCE words, so that membership stays soft.
 * Rates: every document gets a rate, the number of times it is expected in the mixture. They minimise the squared
   relative misses of the domains' expected token totals plus PULL times the squared distance from a rate of one, weighed
-  by tokens. Each projected-gradient step sums tokens * rate * posterior over all documents and moves the rates, never
-  below zero; only the sums of the domains come to the driver.
+  by tokens. Each Newton step, on the dual problem of one number for each domain, sums over all documents; only the sums
+  of the domains and their pairs come to the driver. Steps end when the rates are those of the least; how far the
+  domains then are from their targets is logged.
 * Copies: a rate's whole part, and one more with the probability of the rest, decided by a hash of the id and text.
 
 The classifier learns from about LEARNT labelled rows; scoring and sums cover all documents and whole texts. Words are
@@ -18,10 +19,14 @@ with the same id and text get the same rate, and copies each. A null id counts a
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from windrow.llm.common import Landing, held_out
 
+log = logging.getLogger(__name__)
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.95, "low": 0.04, "toxic": 0.01}
 WORDS, SHAPES = 4096, 512
@@ -29,7 +34,7 @@ LEARNT = 20_000
 EVIDENCE = 40.0
 SMOOTH = 2000.0  # terms of the common distribution added to each domain
 PULL = 1e-3
-STEPS = 25
+STEPS = 200  # never needed; a warning tells when they don't suffice
 CLOSE = 1e-6
 FEW = 1 << 20  # labels that are broadcast at most; beyond, they are joined by a shuffle
 
@@ -87,23 +92,53 @@ def posteriors(docs: DataFrame, labels: DataFrame, landing: Landing) -> DataFram
 
 
 def fitted(held: DataFrame, targets: dict[str, float]) -> Column:
-    """The rate of each row of `held` (rows, tokens, posteriors) as an expression over its columns."""
-    goal = {d: targets[d] / sum(targets.values()) for d in DOMAINS}
+    """The rate of each row of `held` (rows, tokens, posteriors) as an expression over its columns.
+
+    At the least of the objective a rate is max(0, 1 - posteriors * m / PULL), where m are the domains' relative misses.
+    The misses are sought where the dual objective, which is convex, has no slope.
+    """
+    goal = np.array([targets[d] for d in DOMAINS]) / sum(targets[d] for d in DOMAINS)
     mass = F.col("rows") * F.col("tokens")
     base = held.agg(*[F.sum(mass * F.col(d)).alias(d) for d in DOMAINS], F.sum(mass).alias("total")).first()
-    total = base["total"] or 1.0
-    share = {d: max((base[d] or 0.0) / total, 1e-6) for d in DOMAINS}
-    step = 1 / (1 + PULL)
-    rate, last = F.lit(1.0), None
+    total = float(base["total"] or 1.0)
+    share = np.array([max(float(base[d] or 0.0) / total, 1e-6) for d in DOMAINS])
+    n = len(DOMAINS)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def rate(m: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(d) * F.lit(float(x / PULL)) for d, x in zip(DOMAINS, m)), F.lit(0.0)))
+
+    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual objective, the domains' shares, and the objective's curvature."""
+        x = rate(m)
+        some = mass * F.when(x > 0, 1.0).otherwise(0.0)
+        found = held.agg(F.sum(mass * x * x), *[F.sum(mass * x * F.col(d)) for d in DOMAINS],
+                         *[F.sum(some * F.col(DOMAINS[i]) * F.col(DOMAINS[j])) for i, j in pairs]).first()
+        found = np.array([float(v or 0.0) for v in found]) / total
+        bend = np.diag(share)
+        for (i, j), v in zip(pairs, found[1 + n:]):
+            bend[i, j] += v / PULL
+            if i != j:
+                bend[j, i] += v / PULL
+        return PULL / 2 * found[0] + goal @ m + share @ (m * m) / 2, found[1:1 + n], bend
+
+    m = np.zeros(n)
+    value, shares, bend = at(m)
     for _ in range(STEPS):
-        now = held.agg(*[F.sum(mass * rate * F.col(d)).alias(d) for d in DOMAINS]).first()
-        miss = {d: ((now[d] or 0.0) / total - goal[d]) / share[d] for d in DOMAINS}
-        slope = sum((F.col(d) * F.lit(float(miss[d])) for d in DOMAINS), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate * F.lit(1 - step * PULL) + F.lit(step * PULL) - F.lit(step) * slope)
-        if last and max(abs(miss[d] - last[d]) for d in DOMAINS) < CLOSE:
+        slope = goal + share * m - shares
+        if np.abs(slope / share).max() < CLOSE:
             break
-        last = miss
-    return rate
+        move, length = -np.linalg.solve(bend, slope), 1.0
+        while True:
+            new = at(m + length * move)
+            if new[0] <= value + 1e-4 * length * (slope @ move) + 1e-15 or length < 1e-6:
+                break
+            length /= 2
+        m, (value, shares, bend) = m + length * move, new
+    else:
+        log.warning("rates aren't settled after %d steps", STEPS)
+    log.info("shares of %s less their targets: %s", DOMAINS, (shares - goal).tolist())
+    return rate(m)
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
