@@ -197,6 +197,14 @@ def test_passage_of_phrases_that_are_common_by_themselves(spark):
     assert (50, 5, 65, 20, 9) in got
 
 
+def test_a_whole_run_is_a_chain_by_itself(spark):
+    kinds = "doc long, a int, span int, first struct<ref long, b int, over int>, previous struct<ref long, b int, over int>"
+    found = substring.matched(spark.createDataFrame([(7, 100, 42, (3, 20, 42), None)], kinds)).orderBy("a").toPandas()
+    assert set(found.doc) == {7} and set(found.ref) == {3} and set(found.a - found.b) == {80}
+    assert substring.chains(found.a.to_numpy(), found.b.to_numpy()) == [list(range(len(found)))]
+    assert found.a.min() == 100 and found.a.max() == 142
+
+
 def test_passages_with_many_changed_words(spark):
     texts, kinds, r = [], {}, random.Random(31)
     for g in range(120):
