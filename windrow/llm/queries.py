@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windrow.llm import bpe, fingerprint, mixing, near_join, quality, substring, token_count, topk, toxicity, url_filter
+from windrow.llm import bpe, fertility, fingerprint, mixing, near_join, quality, substring, token_count, topk, toxicity, url_filter
 from windrow.llm.common import held_out, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -74,13 +74,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts, how two vocabularies cut the text, and the band that it leaves, if any."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    path = public_tokenizers.path
+    found = fertility.measure(docs, path("piece_bpe_32k.model"), path("byte_bpe_multi_50k.tiktoken"),
+                              public_tokenizers.PATTERN)
+    return found.select("doc_id", "measures.*", fertility.kept().alias("kept"))
+
+
 def judged(scored: DataFrame, least: float) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= least).cast("int").alias("predicted"))
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe_round_trip, op3_mixing, op4_token_count, op5_top_k, op6_url_filter, op7_fingerprint,
-                                   op8_near_join, op9_toxicity, op10_quality)}
+                                   op8_near_join, op9_toxicity, op10_quality, op11_quality_rules)}
 
 ORACLE = {
     "op5_top_k": """
