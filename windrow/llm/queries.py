@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windrow.llm import bpe, fertility, fingerprint, mixing, near_join, quality, substring, token_count, topk, toxicity, url_filter
+from windrow.llm import bpe, collocation, fertility, fingerprint, mixing, near_join, quality, substring, token_count, topk, toxicity, url_filter
 from windrow.llm.common import held_out, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -83,13 +83,18 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "measures.*", fertility.kept().alias("kept"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 def judged(scored: DataFrame, least: float) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= least).cast("int").alias("predicted"))
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe_round_trip, op3_mixing, op4_token_count, op5_top_k, op6_url_filter, op7_fingerprint,
-                                   op8_near_join, op9_toxicity, op10_quality, op11_quality_rules)}
+                                   op8_near_join, op9_toxicity, op10_quality, op11_quality_rules,
+                                   op12_collocations)}
 
 ORACLE = {
     "op5_top_k": """
@@ -114,4 +119,28 @@ WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
               GROUP BY page_id)
 SELECT p.page_id, p.host, p.path, fits.rule, coalesce(fits.verdict, 'allow') AS verdict
 FROM p LEFT JOIN fits ON p.page_id = fits.page_id""",
+    "op12_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text,
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+     g AS (SELECT lang, k AS width, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS ws
+           FROM w, (VALUES (1), (2), (3), (4)) AS t(k) WHERE len(ws) >= k),
+     f AS (SELECT lang, width, ws, count(*) AS a FROM g GROUP BY ALL),
+     c AS (SELECT * FROM f WHERE width >= 2 AND a >= 30),
+     n AS (SELECT lang, sum(a) AS n FROM f WHERE width = 1 GROUP BY lang),
+     cuts AS (SELECT c.*, unnest(range(1, width)) AS k FROM c),
+     s AS (SELECT cuts.lang, cuts.ws, cuts.width, cuts.a, k, x.a AS l, y.a AS r,
+                  CAST(2000000 AS HUGEINT) * cuts.a // (CAST(x.a AS HUGEINT) + y.a) AS score
+           FROM cuts JOIN f x ON x.lang = cuts.lang AND x.ws = cuts.ws[1:k]
+                     JOIN f y ON y.lang = cuts.lang AND y.ws = cuts.ws[k + 1:cuts.width]),
+     low AS (SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS place FROM s),
+     spans AS (SELECT c.*, m, unnest(range(1, width - m + 2)) AS i FROM c, (VALUES (2), (3)) AS t(m) WHERE m < width),
+     inner_ AS (SELECT lang, ws[i:i + m - 1] AS ws, max(a) AS longer FROM spans GROUP BY ALL),
+     free AS (SELECT low.*, array_to_string(low.ws, ' ') AS phrase FROM low LEFT JOIN inner_ USING (lang, ws)
+              WHERE place = 1 AND (longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(low.a AS HUGEINT))),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+                FROM free)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }
