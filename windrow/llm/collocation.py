@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from windrow.llm.common import Landing, batch_rows, mixed, ship
+from windrow.llm.common import Landing, batch_rows, bitmap, held, mixed, ship
 
 DEPTH = 4  # words of the longest phrase
 SHARD = 1 << 20  # words
 SLICE = 1 << 22  # bytes of a text that are cut into words at a time
-SYMBOL = 21  # bits of a word's number inside a shard
+SYMBOL = 31  # bits of a word's number
 BITS = 1 << 26  # of the bitmap
 END = b"\xff"  # between pieces: no byte of UTF-8
 _ends = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -64,11 +64,12 @@ class Texts:
 
 def last_column(s: np.ndarray) -> np.ndarray:
     """The word before each suffix, the suffixes being ordered by their first DEPTH - 1 words (beyond the end: 0)."""
-    key = np.zeros(len(s), np.int64)
-    for k in range(DEPTH - 1):
-        key <<= SYMBOL
-        key[:len(s) - k] += s[k:]
-    return np.roll(s, 1)[np.argsort(key, kind="stable")]
+    word = [np.concatenate([s[k:], np.zeros(k, s.dtype)]).astype(np.int64) for k in range(DEPTH - 1)]
+    if len(s) and s.max() < 1 << 21:  # three words in one number
+        order = np.argsort(word[0] << 42 | word[1] << 21 | word[2], kind="stable")
+    else:
+        order = np.lexsort(word[::-1])
+    return np.roll(s, 1)[order]
 
 
 class Side:
@@ -127,14 +128,8 @@ class Index:
         return w[:, 0] << 32 | w[:, 1], w[:, 2] << 32 | w[:, 3]
 
 
-def bit_places(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mixed(mixed(k1.astype(np.uint64)) + k2.astype(np.uint64)) & np.uint64(BITS - 1)
-
-
-def held(bits: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-    at = bit_places(k1, k2)
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+def hashed(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    return mixed(mixed(k1.view(np.uint64)) + k2.view(np.uint64))
 
 
 def shards(docs: DataFrame, text: str, lang: str | None) -> DataFrame:
@@ -211,10 +206,10 @@ def counts_of(width: int, index: DataFrame, bitmaps: dict[int, object]) -> DataF
                 x = Index(counts, batch["to_left"][i].as_py(), batch["to_right"][i].as_py(), numbers)
                 p = x.to_left(x.words())
                 for w in range(2, width):
-                    p = p.where(held(bits[w], *x.keys(p.words)))
+                    p = p.where(held(bits[w], hashed(*x.keys(p.words))))
                     p = x.to_right(p) if w % 2 == 0 else x.to_left(p)
                     part = p.words[:, :w] if w % 2 else p.words[:, 1:]  # the other end was looked up before
-                    p = p.where(held(bits[w], *x.keys(part)))
+                    p = p.where(held(bits[w], hashed(*x.keys(part))))
                 k1, k2 = x.keys(p.words)
                 for a in range(0, len(k1), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(c[a:a + (1 << 16)]) for c in (k1, k2, p.size)],
@@ -223,23 +218,6 @@ def counts_of(width: int, index: DataFrame, bitmaps: dict[int, object]) -> DataF
     return index.mapInArrow(run, "k1 long, k2 long, a long")
 
 
-def bitmap(phrases: DataFrame):
-    """The phrases' bits, a broadcast of BITS / 8 bytes."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = bit_places(batch["k1"].to_numpy(), batch["k2"].to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)),
-                                              pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))],
-                                             ["slot", "mask"])
-
-    marked = phrases.select("k1", "k2").mapInArrow(mark, "slot long, mask long")
-    found = marked.groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bits = np.zeros(BITS // 64, np.int64)
-    bits[found["slot"].to_numpy()] = found["mask"].to_numpy()
-    return phrases.sparkSession.sparkContext.broadcast(bits.tobytes())
-
-
 def phrase_counts(index: DataFrame, landing: Landing, least: int) -> DataFrame:
     """k1, k2, width, a: all phrases of two to DEPTH words with at least `least` occurrences."""
     spark, bitmaps, found = index.sparkSession, {}, []
@@ -249,7 +227,8 @@ def phrase_counts(index: DataFrame, landing: Landing, least: int) -> DataFrame:
         with batch_rows(spark, 1):  # a row is a shard
             found.append(landing.land(kept, f"width-{width}"))
         if width < DEPTH:
-            bitmaps[width] = bitmap(found[-1])
+            bitmaps[width] = bitmap(found[-1].select("k1", "k2"), lambda b: hashed(b["k1"].to_numpy(), b["k2"].to_numpy()),
+                                    BITS)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

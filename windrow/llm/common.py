@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -118,6 +119,31 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def held(marked: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bitmap (64-bit words, as many as a power of two) has the hashes; it may say so wrongly."""
+    at = h & np.uint64(64 * len(marked) - 1)
+    return (marked[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bitmap(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int):
+    """A broadcast of `bits` bits (a power of two), whatever the rows, for `held`: those of all rows' hashes are set.
+
+    `bits` / 64 rows at most reach the driver.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = hashes(batch) & np.uint64(bits - 1)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)),
+                                              pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))],
+                                             ["slot", "mask"])
+
+    found = df.mapInArrow(mark, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["slot"].to_numpy()] = found["mask"].to_numpy()
+    return df.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the runs of k words, in order; a shorter, non-empty text is one run."""
     if not len(h):

@@ -8,7 +8,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windrow.llm import bpe, collocation, fertility, fingerprint, mixing, near_join, quality, substring, token_count, topk, toxicity, url_filter
+from windrow.llm import (bpe, collocation, fertility, fingerprint, mixing, near_join, quality, spelling, substring,
+                         token_count, topk, toxicity, url_filter)
 from windrow.llm.common import held_out, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -87,6 +88,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def judged(scored: DataFrame, least: float) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= least).cast("int").alias("predicted"))
@@ -94,7 +99,7 @@ def judged(scored: DataFrame, least: float) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe_round_trip, op3_mixing, op4_token_count, op5_top_k, op6_url_filter, op7_fingerprint,
                                    op8_near_join, op9_toxicity, op10_quality, op11_quality_rules,
-                                   op12_collocations)}
+                                   op12_collocations, op13_spelling_variants)}
 
 ORACLE = {
     "op5_top_k": """
@@ -143,4 +148,33 @@ WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(tr
 SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
        CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE
+     t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+               lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+     r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text,
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]{7,}')) AS run
+           FROM documents),
+     d AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM r GROUP BY ALL),
+     h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2),
+                      lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))),
+                  lambda c, b: xor(c >> 8, crc[xor(c, b) % 256 + 1])), 4294967295) AS h FROM d, t),
+     w AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+     v AS (SELECT word, sum(n) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+     o AS (SELECT word, n, unnest(range(length(word))) AS i FROM v),
+     gap AS (SELECT word, n, i, word[:i] || '*' || word[i + 2:] AS pattern FROM o),
+     less AS (SELECT DISTINCT word, n, word[:i] || word[i + 2:] AS other FROM o),
+     near AS (SELECT a.word, b.word AS other, b.n AS n_other FROM gap a JOIN gap b ON a.pattern = b.pattern AND a.word <> b.word
+              UNION ALL SELECT less.word, v.word, v.n FROM less JOIN v ON v.word = less.other
+              UNION ALL SELECT v.word, less.word, less.n FROM less JOIN v ON v.word = less.other),
+     best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n_other DESC, encode(other)) AS place,
+                     count(*) OVER (PARTITION BY word) AS n_near FROM near),
+     f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN n_other >= 10 * v.n THEN other END AS form,
+                  CASE WHEN n_other >= 10 * v.n THEN n_other END AS form_n
+           FROM v LEFT JOIN best ON best.word = v.word AND place = 1),
+     walk AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL
+              UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL),
+     ends AS (SELECT walk.word, walk.at AS root FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(root, f.word) AS root, CAST(n AS BIGINT) AS n, CAST(n_near AS BIGINT) AS n_near,
+       CAST(form_n AS BIGINT) AS form_n FROM f LEFT JOIN ends ON ends.word = f.word""",
 }
