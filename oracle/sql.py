@@ -526,7 +526,9 @@ BINCOLS = (f"coalesce(n, 0) AS \"count\", {r('CASE WHEN n >= 3 THEN mws END', 'm
            f" {r('top', 'max_power')}")
 q("power_curve_farm", f"""
 SELECT CAST((s.i+0.5)*0.5 AS DOUBLE) AS bin_center, {BINCOLS} FROM range(90) s(i) LEFT JOIN fbin b ON b.bin = s.i""")
-q("power_curve_turbine", f"SELECT turbine, CAST((bin+0.5)*0.5 AS DOUBLE) AS bin_center, {BINCOLS} FROM tbin")
+q("power_curve_turbine", f"""
+SELECT t.turbine, CAST((s.i+0.5)*0.5 AS DOUBLE) AS bin_center, {BINCOLS}
+FROM (SELECT DISTINCT turbine FROM tbin) t CROSS JOIN range(90) s(i) LEFT JOIN tbin b ON b.turbine = t.turbine AND b.bin = s.i""")
 # bin centres lie half way between two nodes of the 0.5 m/s curve
 CTE["nodemid"] = "SELECT a.i AS bin, (a.p + b.p)/2.0 AS pw FROM node a JOIN node b ON b.i = a.i + 1"
 CTE["tdev"] = """

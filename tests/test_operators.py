@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from windrow import FarmParams
 from windrow.functions import num
 from windrow.functions.rows import hold_row
-from windrow.operators import curve, energy, flags, layout as lay, longterm as lt, resource, yaw, yieldcalc as yc
+from windrow.operators import curve, energy, flags, layout as lay, longterm as lt, powercurve as pc, resource, yaw, yieldcalc as yc
 
 P = FarmParams(rotor_diameter_m=126.0, rated_power_kw=3450.0)
 D = P.rotor_diameter_m
@@ -26,7 +26,7 @@ def layout_loss(spark, positions, directions, p, ws=9.0):
     rose = spark.createDataFrame([(float(d), ws, 1.0 / len(directions)) for d in directions],
                                  "dir_deg double, ws_bin double, freq double")
     grid = curve.curve_grid(curve.generic_curve(spark, p), p)
-    e = lay.turbine_energy(lay.turbine_deficits(lay_df, rose, p), grid)
+    e = lay.turbine_energy(lay.turbine_deficits(lay.directional_terms(lay_df, rose, p), rose, p), grid)
     per = {r["turbine"]: r["wake_loss_pct"] for r in lay.layout_turbine(e).collect()}
     return per, one(lay.layout_farm(e))["farm_loss_pct"]
 
@@ -50,6 +50,49 @@ def test_layout_grid(spark):
     assert 2 < farm < 25 and len(per) == 12
 
 
+def test_layout_as_pairs(spark):
+    """Against the sum over all pairs, in plain Python."""
+    r = random.Random(3)
+    spots = [(f"T{i}", r.uniform(0, 4000), r.uniform(0, 4000)) for i in range(25)] + [("far", 1e6, 0.0)]
+    bins = [(d, v, 0.01) for d in (2.5, 92.5, 200.0, 357.5) for v in (2.0, 6.0, 12.0)]
+    rose = spark.createDataFrame(bins, "dir_deg double, ws_bin double, freq double")
+    terms = lay.directional_terms(spark.createDataFrame(spots, "turbine string, x double, y double"), rose, P)
+    got = {(x.dir_deg, x.ws_bin, x.turbine): x.deficit for x in lay.turbine_deficits(terms, rose, P).collect()}
+    ct = {6.0: 0.87, 12.0: 0.53}
+    want = {}
+    for d, v, _ in bins:
+        for t, x, y in spots if v in ct else ():
+            ux, uy, total = -math.sin(math.radians(d)), -math.cos(math.radians(d)), 0.0
+            for _, a, b in spots:
+                along, across = (x - a) * ux + (y - b) * uy, -(x - a) * uy + (y - b) * ux
+                if along > 0.5 * D:
+                    sigma = (0.3837 * P.wake_ti + 0.003678) * (along - 0.5 * D) + 0.2 * D * math.sqrt(1 + 2 * P.wake_ti)
+                    inner, t2 = 1 - ct[v] / (8 * (sigma / D) ** 2), (D / 2 / sigma) ** 2 / 2
+                    centre = 1.0 if inner <= 0 else 1 - math.sqrt(inner)
+                    total += (centre * math.exp(-(across / sigma) ** 2 / 2) * (1 - math.exp(-t2)) / t2) ** 2
+            want[d, v, t] = math.sqrt(total)
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_curve_of_the_farm_from_its_turbines(spark):
+    r = random.Random(4)
+    rows = [(r.choice("ABC"), r.choice([5.1, 5.2, 8.3, 45.0, None]), r.choice([None, 1e6 + r.random(), 1e6]), r.choice([0, 0, 2]),
+             1.0, 1.0, 1.0) for _ in range(400)]
+    df = spark.createDataFrame(rows, "turbine string, ws double, power_kw double, flag int, density_ratio double,"
+                                     " energy_kwh double, expected_energy_kwh double")
+    base = pc.curve_base(df, P)
+    farm = {x.bin_center: x for x in pc.power_curve_farm(base, P).collect()}
+    for centre, lo in ((5.25, 5.0), (8.25, 8.0)):
+        own = [x[2] for x in rows if x[3] == 0 and x[1] is not None and lo <= x[1] < lo + 0.5 and x[2] is not None]
+        mean = sum(own) / len(own)
+        assert farm[centre]["count"] == len(own) and abs(farm[centre].mean_power - mean) < 1e-6
+        assert abs(farm[centre].std_power - math.sqrt(sum((v - mean) ** 2 for v in own) / len(own))) < 1e-6
+    assert len(farm) == 90 and pc.power_curve_turbine(base, P).count() == 3 * 90
+    kept = pc.curve_deviation(base, curve.generic_curve(spark, P), P).agg(F.sum("n_operating_rows")).first()[0]
+    assert kept == sum(x[3] == 0 for x in rows)
+
+
 def test_gamma_and_weibull_moments(spark):
     rows = [(m, s) for m in (4.0, 7.5, 10.0) for s in (0.8, 2.0, 4.5)]
     df = spark.createDataFrame(rows, "mean_ws double, sd_ws double").withColumn("n", F.lit(100))

@@ -56,3 +56,19 @@ def land(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame
         df.hint("rebalance").write.parquet(path)
     # the schema is given, or a month such as 1996-01 would be read back as a date
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def buckets_of(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def land_bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Lands `df` as a table bucketed by `keys`: windows, groups and joins on them then need no exchange.
+
+    One file per bucket is written if `df` is spread by `repartition(buckets_of(spark), *keys)` already.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    (df.write.format("parquet").bucketBy(buckets_of(spark), *keys).sortBy(*keys)
+     .option("path", os.path.join(scratch_dir(spark), table)).saveAsTable(table))
+    return spark.table(table)

@@ -1,8 +1,8 @@
 """Wake losses from the turbine layout with a Gaussian wake, weighted by the wind rose.
 
-The rose is aggregated first, so the model runs on (rose bin, turbine) rows however many records
-there are. The layout travels as one array; the upstream turbines of a row are summed inside the
-row and no turbine pairs are emitted.
+The rose is aggregated first, so the model's size does not depend on the number of records. What depends on the wind
+direction only, the place of each turbine in the wakes of those in front of it, is computed once per direction and landed;
+the speeds of a direction are joined to it and summed per (bin, turbine) in generated code.
 """
 
 from __future__ import annotations
@@ -27,40 +27,52 @@ def thrust(ws: Column, curve=THRUST) -> Column:
     return piecewise_linear(ws, curve)
 
 
-def _pair_deficit(dx: Column, dy: Column, ct: Column, p: FarmParams) -> Column:
+def wake_shape(along: Column, across: Column, p: FarmParams) -> tuple[Column, Column]:
+    """What the geometry alone decides: (8 (sigma / D)^2, share of the centre deficit that the rotor sees)."""
     d = p.rotor_diameter_m
     sigma0 = 0.2 * d * math.sqrt(1 + 2 * p.wake_ti)
     growth = 0.3837 * p.wake_ti + 0.003678
-    sigma = growth * (dx - 0.5 * d) + sigma0
-    inner = 1.0 - ct / (8.0 * F.pow(sigma / d, 2))
-    centre = F.when(inner <= 0, 1.0).otherwise(1.0 - F.sqrt(F.greatest(inner, F.lit(0.0))))
+    sigma = growth * (along - 0.5 * d) + sigma0
     t2 = F.pow(F.lit(d / 2.0) / sigma, 2) / 2.0            # (R / (sqrt(2) sigma))^2
-    return centre * F.exp(-F.pow(dy / sigma, 2) / 2.0) * (1.0 - F.exp(-t2)) / t2
+    return 8.0 * F.pow(sigma / d, 2), F.exp(-F.pow(across / sigma, 2) / 2.0) * (1.0 - F.exp(-t2)) / t2
+
 
+def directional_terms(layout: DataFrame, directions: DataFrame, p: FarmParams) -> DataFrame:
+    """dir_deg, turbine, x, y and the wake shape of each turbine upstream of it (null where there is none).
 
-def turbine_deficits(layout: DataFrame, rose: DataFrame, p: FarmParams, ct_curve=THRUST) -> DataFrame:
-    """Effective deficit at each turbine for each rose bin: root of the sum of squared deficits."""
-    arr = layout.agg(F.sort_array(F.collect_list(F.struct("turbine", "x", "y"))).alias("a")).scalar()
+    The turbines are sorted along each wind direction, so each meets only those in front of it. The array of all
+    positions has a row per turbine of the farm; directions are spread over the cluster before they grow.
+    """
+    arr = layout.agg(F.collect_list(F.struct("turbine", "x", "y"))).scalar()
     sign = -1.0 if p.wake_bearing == "from" else 1.0
     rad = F.radians("dir_deg")
+    spread = directions.select("dir_deg").distinct().repartition(
+        directions.sparkSession.sparkContext.defaultParallelism, "dir_deg")
+    placed = spread.withColumn("_layout", arr).select("dir_deg", F.array_sort(F.transform("_layout", lambda t: F.struct(
+        (t["x"] * sign * F.sin(rad) + t["y"] * sign * F.cos(rad)).alias("along"),
+        (t["y"] * sign * F.sin(rad) - t["x"] * sign * F.cos(rad)).alias("across"),
+        t["turbine"].alias("turbine"), t["x"].alias("x"), t["y"].alias("y")))).alias("_all"))
+    rows = placed.select("dir_deg", "_all", F.posexplode("_all").alias("_i", "t"))
+    pairs = rows.select("dir_deg", "t", F.explode_outer(F.slice("_all", F.lit(1), F.col("_i"))).alias("u"))
+    along = F.col("t.along") - F.col("u.along")
+    near = along > 0.5 * p.rotor_diameter_m
+    spread8, seen = wake_shape(along, F.col("t.across") - F.col("u.across"), p)
+    return pairs.select("dir_deg", F.col("t.turbine").alias("turbine"), F.col("t.x").alias("x"), F.col("t.y").alias("y"),
+                        F.when(near, spread8).alias("spread8"), F.when(near, seen).alias("seen"))
+
+
+def turbine_deficits(terms: DataFrame, rose: DataFrame, p: FarmParams, ct_curve=THRUST) -> DataFrame:
+    """Effective deficit at each turbine for each rose bin: root of the sum of squared deficits.
+
+    `terms` are the landed directional terms; the speeds of a direction meet them by an equi-join.
+    """
     bins = rose.filter((F.col("freq") > 0) & (F.col("ws_bin") >= p.cut_in_mps)
                        & (F.col("ws_bin") < p.cut_out_mps)).select(
-        "dir_deg", "ws_bin", "freq", (sign * F.sin(rad)).alias("ux"), (sign * F.cos(rad)).alias("uy"),
-        thrust(F.col("ws_bin"), ct_curve).alias("ct"), arr.alias("_all"))
-    rows = bins.withColumn("t", F.explode("_all"))
-
-    def along(i):
-        return (F.col("t.x") - i["x"]) * F.col("ux") + (F.col("t.y") - i["y"]) * F.col("uy")
-
-    def across(i):
-        return -(F.col("t.x") - i["x"]) * F.col("uy") + (F.col("t.y") - i["y"]) * F.col("ux")
-
-    upstream = F.filter("_all", lambda i: along(i) > 0.5 * p.rotor_diameter_m)
-    total = F.aggregate(upstream, F.lit(0.0), lambda acc, i: acc + F.pow(
-        _pair_deficit(along(i), across(i), F.col("ct"), p), 2))
-    return rows.select("dir_deg", "ws_bin", "freq", F.col("t.turbine").alias("turbine"),
-                       F.col("t.x").alias("x"), F.col("t.y").alias("y"),
-                       F.sqrt(total).alias("deficit"))
+        "dir_deg", "ws_bin", "freq", thrust(F.col("ws_bin"), ct_curve).alias("ct"))
+    inner = 1.0 - F.col("ct") / F.col("spread8")
+    centre = F.when(inner <= 0, 1.0).otherwise(1.0 - F.sqrt(F.greatest(inner, F.lit(0.0))))
+    return (terms.join(bins, "dir_deg").groupBy("dir_deg", "ws_bin", "freq", "turbine", "x", "y")
+            .agg(F.sqrt(F.coalesce(F.sum(F.pow(centre * F.col("seen"), 2)), F.lit(0.0))).alias("deficit")))
 
 
 def turbine_energy(deficit_rows: DataFrame, grid: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from windrow.functions.num import clip, sector
-from windrow.functions.rows import with_scalars
+from windrow.functions.rows import buckets_of, with_scalars
 from windrow.operators.curve import power_at
 from windrow.operators.flags import at_slot
 from windrow.params import FarmParams
@@ -26,12 +26,14 @@ def sectored(flagged: DataFrame, base: DataFrame, p: FarmParams, has_direction:
     """Operating records with `pool` (may serve as reference) and the sector of their time.
 
     The sector is the median direction of the pool; a time holds one record per turbine. `base` is
-    the landed base table: Spark knows its size and decides about the join from it.
+    the landed base table: Spark knows its size and decides about the join from it. The rows come out spread by slot,
+    to be landed in buckets: all windows over a slot that follow need no further exchange.
     """
     bad = bad_anemometers(base).select("turbine", F.lit(True).alias("_bad"))
     op = (flagged.filter("flag = 0 and ws is not null")
           .select("turbine", "slot", "ws", "dir_deg", "density_ratio")
-          .join(bad, "turbine", "left").withColumn("pool", F.col("_bad").isNull()).drop("_bad"))
+          .join(bad, "turbine", "left").withColumn("pool", F.col("_bad").isNull()).drop("_bad")
+          .repartition(buckets_of(flagged.sparkSession), "slot"))
     if not has_direction:
         return op.withColumn("sector", F.lit(0))
     med = F.median(F.when(F.col("pool"), F.col("dir_deg"))).over(at_slot())
@@ -84,23 +86,32 @@ def deficits(rows: DataFrame, reference: DataFrame, grid: DataFrame, p: FarmPara
                      F.when(waked, lost).otherwise(0.0).alias("wake_power_loss_kw"))
 
 
-def wake_sector_table(d: DataFrame, p: FarmParams, has_direction: bool = True) -> DataFrame:
+def wake_base(d: DataFrame, p: FarmParams, has_direction: bool = True) -> DataFrame:
+    """Sums per turbine and its own sector, of which every wake table is a read-out."""
     key = sector(F.col("dir_deg"), p.sector_width_deg) if has_direction else F.lit(0)
-    return (d.filter(F.col("ws_free") > MIN_WAKE_WS).groupBy(key.alias("sector_deg"))
-            .agg(F.avg("deficit").alias("mean_deficit"), F.count(F.lit(1)).alias("n_samples")))
+    free = F.col("ws_free") > MIN_WAKE_WS
+    return d.groupBy("turbine", key.alias("sector_deg")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("deficit").alias("deficit"),
+        F.count(F.when(free, True)).alias("n_free"), F.sum(F.when(free, F.col("deficit"))).alias("deficit_free"),
+        F.sum(F.col("waked").cast("int")).alias("n_waked"), F.sum("wake_power_loss_kw").alias("lost_kw"))
 
 
-def wake_turbine_table(d: DataFrame, p: FarmParams) -> DataFrame:
-    return d.groupBy("turbine").agg(
-        F.avg("deficit").alias("mean_deficit"), F.count(F.lit(1)).alias("n_samples"),
-        (F.sum("wake_power_loss_kw") * p.interval_h / 1000.0).alias("wake_energy_mwh"))
+def wake_sector_table(base: DataFrame) -> DataFrame:
+    return (base.filter("n_free > 0").groupBy("sector_deg")
+            .agg((F.sum("deficit_free") / F.sum("n_free")).alias("mean_deficit"), F.sum("n_free").alias("n_samples")))
 
 
-def wake_loss(d: DataFrame, account: DataFrame, p: FarmParams) -> DataFrame:
+def wake_turbine_table(base: DataFrame, p: FarmParams) -> DataFrame:
+    return base.groupBy("turbine").agg(
+        (F.sum("deficit") / F.sum("n")).alias("mean_deficit"), F.sum("n").alias("n_samples"),
+        (F.sum("lost_kw") * p.interval_h / 1000.0).alias("wake_energy_mwh"))
+
+
+def wake_loss(base: DataFrame, account: DataFrame, p: FarmParams) -> DataFrame:
     """One row: wake energy, its share of the gross energy, records with a wake."""
-    one = d.agg(
-        (F.coalesce(F.sum("wake_power_loss_kw"), F.lit(0.0)) * p.interval_h / 1000.0).alias("wake_energy_mwh"),
-        F.coalesce(F.sum(F.col("waked").cast("int")), F.lit(0)).alias("n_intervals"))
+    one = base.agg(
+        (F.coalesce(F.sum("lost_kw"), F.lit(0.0)) * p.interval_h / 1000.0).alias("wake_energy_mwh"),
+        F.coalesce(F.sum("n_waked"), F.lit(0)).alias("n_intervals"))
     df = with_scalars(one, account.select("gross_mwh"))
     share = F.when(F.col("gross_mwh") > 0, 100.0 * F.col("wake_energy_mwh") / F.col("gross_mwh"))
     return df.withColumn("wake_loss_pct", F.coalesce(share, F.lit(0.0)))

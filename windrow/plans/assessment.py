@@ -12,7 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windrow.functions.rows import hold_row, land, with_scalars
+from windrow.functions.rows import hold_row, land, land_bucketed, with_scalars
 from windrow.operators import (curve, energy, flags, layout as lay, longterm as lt, powercurve as pc,
                                resource, timeseries as ts, wake, yaw, yieldcalc as yc)
 from windrow.params import FarmParams
@@ -59,7 +59,8 @@ class Assessment:
     # wake
     @cached_property
     def wake_rows(self) -> DataFrame:
-        return wake.sectored(self.flagged, self.base, self.params, self.has_direction)
+        rows = wake.sectored(self.flagged, self.base, self.params, self.has_direction)
+        return land_bucketed(rows, "wake-rows", "slot")
 
     @cached_property
     def reference_set(self) -> DataFrame:
@@ -69,25 +70,38 @@ class Assessment:
     def deficits(self) -> DataFrame:
         return wake.deficits(self.wake_rows, self.reference_set, self.grid, self.params)
 
+    @cached_property
+    def wake_base(self) -> DataFrame:
+        return land(wake.wake_base(self.deficits, self.params, self.has_direction), "wake-base")
+
+    @cached_property
+    def curve_base(self) -> DataFrame:
+        return land(pc.curve_base(self.flagged, self.params), "curve-base")
+
     @cached_property
     def yaw_rows(self) -> DataFrame:
         return yaw.yaw_rows(self.flagged, land(yaw.bin_means(self.flagged, self.params), "yaw-bins"), self.params)
 
     @cached_property
     def wake_loss(self) -> DataFrame:
-        return hold_row(wake.wake_loss(self.deficits, self.account, self.params))
+        return hold_row(wake.wake_loss(self.wake_base, self.account, self.params))
 
     @cached_property
     def wake_turbine(self) -> DataFrame:
-        return wake.wake_turbine_table(self.deficits, self.params)
+        return wake.wake_turbine_table(self.wake_base, self.params)
 
     @cached_property
     def rose(self) -> DataFrame:
-        return resource.rose_freq(resource.wind_rose(self.flagged))
+        return land(resource.rose_freq(resource.wind_rose(self.flagged)), "rose")
+
+    @cached_property
+    def layout_deficits(self) -> DataFrame:
+        terms = land(lay.directional_terms(self.layout, self.rose, self.params), "layout-terms")
+        return land(lay.turbine_deficits(terms, self.rose, self.params), "layout-deficits")
 
     @cached_property
     def layout_energy(self) -> DataFrame:
-        return lay.turbine_energy(lay.turbine_deficits(self.layout, self.rose, self.params), self.grid)
+        return lay.turbine_energy(self.layout_deficits, self.grid)
 
     # long term
     @cached_property
@@ -200,8 +214,8 @@ class Assessment:
         row = self.net_sigma.drop("n_turbines")
         row = with_scalars(row, flags.coverage(self.flagged))
         row = with_scalars(row, energy.availability_farm(self.per_turbine).select("time_avail_pct", "prod_avail_pct"))
-        row = with_scalars(row, pc.farm_deviation(self.flagged, self.nodes, self.params))
-        dev = pc.curve_deviation(self.flagged, self.nodes, self.params)
+        row = with_scalars(row, pc.farm_deviation(self.curve_base, self.nodes, self.params))
+        dev = pc.curve_deviation(self.curve_base, self.nodes, self.params)
         row = with_scalars(row, dev.agg(F.min("deviation_pct").alias("worst_deviation_pct")))
         row = with_scalars(row, self.mcp_quality)
         period = self.flagged.agg(F.min("timestamp").cast("string").alias("record_start"),
@@ -218,10 +232,10 @@ class Assessment:
             "yearly": energy.yearly_production(self.base, p),
             "downtime_monthly": energy.downtime_monthly(self.base, p),
             "performance_monthly": energy.performance_monthly(self.base),
-            "power_curve": pc.power_curve_farm(self.flagged, p),
-            "power_curve_turbine": pc.power_curve_turbine(self.flagged, p),
-            "turbine_deviation": pc.curve_deviation(self.flagged, self.nodes, p),
-            "wake_sectors": wake.wake_sector_table(self.deficits, p, self.has_direction),
+            "power_curve": pc.power_curve_farm(self.curve_base, p),
+            "power_curve_turbine": pc.power_curve_turbine(self.curve_base, p),
+            "turbine_deviation": pc.curve_deviation(self.curve_base, self.nodes, p),
+            "wake_sectors": wake.wake_sector_table(self.wake_base),
             "wake_turbines": self.wake_turbine,
             "loss_matrix": energy.loss_matrix(self.base, self.wake_turbine),
             "wind_rose": resource.wind_rose(self.flagged),

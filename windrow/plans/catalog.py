@@ -440,19 +440,19 @@ def worst_turbines(s, d):
 
 
 def power_curve_farm(s, d):
-    return out(pc.power_curve_farm(flagged(s, d), P))
+    return out(pc.power_curve_farm(a(s, d).curve_base, P))
 
 
 def power_curve_turbine(s, d):
-    return out(pc.power_curve_turbine(flagged(s, d), P).filter("count > 0"))
+    return out(pc.power_curve_turbine(a(s, d).curve_base, P))
 
 
 def curve_deviation(s, d):
-    return out(pc.curve_deviation(flagged(s, d), a(s, d).nodes, P), 6)
+    return out(pc.curve_deviation(a(s, d).curve_base, a(s, d).nodes, P), 6)
 
 
 def curve_delta(s, d):
-    return out(pc.curve_delta(flagged(s, d), a(s, d).nodes, P))
+    return out(pc.curve_delta(a(s, d).curve_base, a(s, d).nodes, P))
 
 
 # ---- resource --------------------------------------------------------------------------------
@@ -523,7 +523,7 @@ def wake_deficit(s, d):
 
 
 def wake_sector_table(s, d):
-    return out(wake.wake_sector_table(a(s, d).deficits, P), 8)
+    return out(wake.wake_sector_table(a(s, d).wake_base), 8)
 
 
 def wake_turbine_table(s, d):
@@ -535,8 +535,7 @@ def wake_loss(s, d):
 
 
 def wake_layout_pairs(s, d):
-    return out(lay.turbine_deficits(tb.layout(s, d), a(s, d).rose, P).select(
-        "dir_deg", "ws_bin", "turbine", "deficit"), 8)
+    return out(a(s, d).layout_deficits.select("dir_deg", "ws_bin", "turbine", "deficit"), 8)
 
 
 def wake_layout_turbine(s, d):
