@@ -239,6 +239,20 @@ q("file_overlap", f"""
 SELECT a.file AS file_a, b.file AS file_b, strftime(greatest(a.t0, b.t0), {STAMP}) AS overlap_start,
        strftime(least(a.t1, b.t1), {STAMP}) AS overlap_end
 FROM prof a JOIN prof b ON a.file < b.file AND a.t0 <= b.t1 AND b.t0 <= a.t1""")
+q("file_overlap_groups", f"""
+SELECT file, strftime(t0, {STAMP}) AS start, strftime(t1, {STAMP}) AS "end",
+       strftime(min(t0) OVER (PARTITION BY grp), {STAMP}) AS group_start, strftime(max(t1) OVER (PARTITION BY grp), {STAMP}) AS group_end,
+       count(*) OVER (PARTITION BY grp) AS n_files, CAST(count(*) OVER (PARTITION BY grp) > 1 AS BIGINT) AS overlaps
+FROM (SELECT *, sum(CASE WHEN reached IS NULL OR t0 > reached THEN 1 ELSE 0 END) OVER (ORDER BY t0, file) AS grp
+      FROM (SELECT *, max(t1) OVER (ORDER BY t0, file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM prof))""")
+q("file_overlaps_of", f"""
+SELECT b.file, strftime(greatest(a.t0, b.t0), {STAMP}) AS overlap_start, strftime(least(a.t1, b.t1), {STAMP}) AS overlap_end
+FROM prof a JOIN prof b ON a.file = 'part_0001.csv' AND b.file <> a.file AND a.t0 <= b.t1 AND b.t0 <= a.t1""")
+q("months_rewritten", f"""
+SELECT month, count(*) AS "rows", {r('sum(power_kw / CASE WHEN month = m0 THEN 2 ELSE 1 END)', 'power')}, min(flag) AS least_flag,
+       CASE WHEN month = any_value(m0) THEN 2 ELSE 1 END AS runs,
+       CASE WHEN month = any_value(m0) THEN 2 ELSE 1 END * count(*) AS rows_written
+FROM filled, (SELECT min(month) AS m0 FROM filled) GROUP BY month""")
 q("input_extent", f"""
 SELECT strftime(min(ts), {STAMP}) AS start, strftime(max(ts), {STAMP}) AS "end", count(*) AS "rows",
        count(DISTINCT turbine) AS turbines FROM raw""")
@@ -537,6 +551,9 @@ q("curve_deviation", f"""
 SELECT o.turbine, {r('o.pr', 'performance_ratio', 6)}, o.n AS n_operating_rows, {r('coalesce(t.dev, 0.0)', 'deviation_pct', 6)}
 FROM (SELECT turbine, sum(e)/greatest(sum(x), 1e-6) AS pr, count(*) AS n FROM filled WHERE flag = 0 GROUP BY turbine) o
 LEFT JOIN tdev t USING (turbine)""")
+q("worst_deviation", f"""
+SELECT turbine, {r('dev', 'deviation_pct')}, row_number() OVER (ORDER BY dev DESC, turbine) AS rank
+FROM tdev ORDER BY dev DESC, turbine LIMIT 3""")
 q("curve_delta", f"""
 SELECT CAST((bin+0.5)*0.5 AS DOUBLE) AS bin_center, n AS records, {r('CASE WHEN n >= 3 THEN mp END', 'measured_kw')}, {r('pw', 'warranted_kw')},
        {r('CASE WHEN n >= 3 THEN mp END - pw', 'delta_kw')},
@@ -594,7 +611,10 @@ MOM_T = "SELECT turbine AS key, avg(ws) AS mu, stddev_samp(ws) AS sd, count(*) A
 MOM_1 = "SELECT 1 AS key, avg(ws) AS mu, stddev_samp(ws) AS sd, count(*) AS n FROM filled WHERE ws > 0.5"
 q("pp_sample", f"""
 SELECT turbine, {TS}, {rs('ws power_kw')}, {r('xp', 'expected_power_kw')} FROM winds
-ORDER BY md5(concat(turbine, '|', slot)), turbine, slot LIMIT 30000""")
+WHERE substr(md5(concat(turbine, '|', slot)), 1, 8) < '19999999'""")
+q("pp_density", f"""
+SELECT CAST(floor(xp/100.0) AS BIGINT) AS expected_bin, CAST(floor(power_kw/100.0) AS BIGINT) AS measured_bin, count(*) AS "count",
+       {r('avg(ws)', 'mean_ws', 6)} FROM winds WHERE power_kw IS NOT NULL AND xp IS NOT NULL GROUP BY 1, 2""")
 qw("weibull_fit", f"""
 SELECT key AS turbine, {r('mu', 'mean_ws', 5)}, {r('sd', 'sd_ws', 5)}, n, {r('k', 'weibull_k', 5)}, {r('a', 'weibull_a', 5)}
 FROM wb""", MOM_T)
@@ -900,6 +920,26 @@ FROM sig, LATERAL (VALUES ('P50', net_mwh), ('P75', net_mwh*exp(-{Z['P75']}*sigm
  ('P99', net_mwh*exp(-{Z['P99']}*sigma)), ('P50 80% CI low', net_mwh*exp(-{Z['P90']}*sigma)),
  ('P50 80% CI high', net_mwh*exp({Z['P90']}*sigma)), ('P90 90% CI low', net_mwh*exp(-{Z['P95']}*sigma)),
  ('P90 90% CI high', net_mwh*exp({Z['P95']}*sigma)), ('mean', mean_mwh), ('sd', sd_mwh)) m(p_value, v)""")
+qy("p_values_draws", f"""
+SELECT turbine, {r('energy_mwh', 'p50', 3)}, {r(f"energy_mwh*exp(-{Z['P75']}*sigma)", 'p75', 3)},
+       {r(f"energy_mwh*exp(-{Z['P90']}*sigma)", 'p90', 3)}, {r(f"energy_mwh*exp(-{Z['P99']}*sigma)", 'p99', 3)} FROM perturb, sig""")
+
+
+def below(z: str) -> str:
+    """Normal distribution function by its series; beyond six sigmas it is 0 or 1 to all places shown."""
+    odd = "list_prepend(CAST(1 AS DOUBLE), list_transform(range(100), lambda k: CAST(201 - 2*k AS DOUBLE)))"
+    return (f"(CASE WHEN {z} > 6 THEN 1.0 WHEN {z} < -6 THEN 0.0 ELSE 0.5 + exp(-{z}*{z}/2)/sqrt(2*pi())*{z}"
+            f"*list_reduce({odd}, lambda acc, m: 1 + {z}*{z}/m*acc) END)")
+
+
+qy("yield_histogram", f"""
+SELECT i AS bin, {r('any_value(a)', 'from_mwh', 6)}, {r('any_value(w)', 'width_mwh', 6)},
+       {r(f"sum(({below('z1')} - {below('z0')}) / (n*w))", 'density', 6)}
+FROM (SELECT *, ln(a/e)/sigma AS z0, ln((a + w)/e)/sigma AS z1
+      FROM (SELECT i, lo + i*(hi - lo)/80 AS a, (hi - lo)/80 AS w, e, sigma, n
+            FROM (SELECT energy_mwh AS e, sigma FROM perturb, sig WHERE energy_mwh > 0),
+                 (SELECT min(energy_mwh*exp(-4*sigma)) AS lo, max(energy_mwh*exp(4*sigma)) AS hi, count(*) AS n
+                  FROM perturb, sig WHERE energy_mwh > 0), range(80) r(i))) GROUP BY i""")
 qy("benchmark", f"""
 SELECT CAST(60000.0 AS DOUBLE) AS preconstruction_p50_mwh, {r('net_mwh', 'assessment_p50_mwh', 3)},
        {r('net_mwh/60000.0', 'ratio', 3)}, {r('100.0*(net_mwh-60000.0)/60000.0', 'delta_pct', 3)} FROM sig""")

@@ -104,3 +104,19 @@ def test_dedup_is_idempotent(spark):
     once = ts.dedup_last_wins(df, ("turbine", "slot"))
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, ts.dedup_last_wins(once, ("turbine", "slot")).collect()))
     assert sorted(r["ws"] for r in once.collect()) == [2.0, 3.0]
+
+
+def test_landed_blocks_give_the_same_and_are_read_once(spark, small_blocks):
+    import re
+
+    from windrow.operators import flags
+    from windrow.plans import testbed as tb
+    rows = tb.resampled(spark, "/root/testdata/sf0.001")
+    blocks = flags.flag_blocks(rows, tb.PARAMS)
+    for fill in (True, False):
+        plain = flags.flag_records(rows, tb.grid(spark), tb.PARAMS, fill=fill)
+        landed = flags.flag_records(blocks, tb.grid(spark), tb.PARAMS, fill=fill)
+        assert plain.count() == landed.count() and plain.exceptAll(landed).isEmpty()
+    plan = landed._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet [^\n]*blocks_rows", plan)) == 1
+    assert "hashpartitioning(turbine" not in plan and "SortAggregate" not in plan

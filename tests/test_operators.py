@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from windrow import FarmParams
 from windrow.functions import num
 from windrow.functions.rows import hold_row
+from windrow.sources import files
 from windrow.operators import curve, energy, flags, layout as lay, longterm as lt, powercurve as pc, resource, yaw, yieldcalc as yc
 
 P = FarmParams(rotor_diameter_m=126.0, rated_power_kw=3450.0)
@@ -93,6 +94,52 @@ def test_curve_of_the_farm_from_its_turbines(spark):
     assert kept == sum(x[3] == 0 for x in rows)
 
 
+def test_normal_law(spark):
+    from statistics import NormalDist
+    zs = [x / 8 for x in range(-96, 97)] + [-30.0, 30.0, 700.0, -700.0]
+    for x in spark.createDataFrame([(z,) for z in zs], "z double").withColumn("p", num.normal_cdf(F.col("z"))).collect():
+        assert abs(x.p - NormalDist().cdf(x.z)) < 1e-14
+        if -12 <= x.z < -1:
+            assert abs(x.p / (math.erfc(-x.z / math.sqrt(2)) / 2) - 1) < 1e-6
+
+
+def test_yield_density(spark):
+    energies = spark.createDataFrame([("A", 100.0), ("B", 180.0), ("C", 0.0), ("D", None)], "turbine string, e double")
+    parts = spark.createDataFrame([(3.0,), (4.0,)], "sigma_pct double")
+    rows = yc.yield_density(energies, parts, "e").orderBy("bin").collect()
+    assert len(rows) == 80 and abs(sum(x.density * x.width_mwh for x in rows) - 1) < 1e-4
+
+    def law(x, e, s=0.05):
+        return math.exp(-(math.log(x / e) / s) ** 2 / 2) / (x * s * math.sqrt(2 * math.pi))
+
+    for x in rows:
+        points = [x.from_mwh + x.width_mwh * (i + 0.5) / 200 for i in range(200)]
+        assert abs(x.density - sum((law(v, 100.0) + law(v, 180.0)) / 2 for v in points) / 200) < 1e-6
+
+
+def test_overlap_groups(spark):
+    r = random.Random(2)
+    files_ = [(f"f{i:03d}", a, a + r.choice([0, 1, 3])) for i, a in enumerate(r.sample(range(400), 150))] + [("whole", 0, 30), ("n", None, None)]
+    at = lambda h: None if h is None else dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    df = spark.createDataFrame([(f, at(a), at(b)) for f, a, b in files_], "file string, start timestamp_ntz, end timestamp_ntz")
+    known = sorted((a, f, b) for f, a, b in files_ if a is not None)
+    groups = []
+    for a, f, b in known:
+        if groups and a <= groups[-1]["end"]:
+            groups[-1]["files"].append(f)
+            groups[-1]["end"] = max(groups[-1]["end"], b)
+        else:
+            groups.append({"start": a, "end": b, "files": [f]})
+    want = sorted((f, at(g["start"]), at(g["end"]), len(g["files"])) for g in groups for f in g["files"])
+    for parts in ("1", "4", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = files.overlap_groups(df).select("file", "group_start", "group_end", "n_files").collect()
+        assert sorted(map(tuple, got)) == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {x.file for x in files.overlaps_of(df, "whole").collect()} == {f for a, f, b in known if a <= 30 and f != "whole"}
+    assert files.overlap_groups(df.limit(0)).collect() == []
+
+
 def test_gamma_and_weibull_moments(spark):
     rows = [(m, s) for m in (4.0, 7.5, 10.0) for s in (0.8, 2.0, 4.5)]
     df = spark.createDataFrame(rows, "mean_ws double, sd_ws double").withColumn("n", F.lit(100))

@@ -45,14 +45,3 @@ def test_partition_count(spark, con):
             assert compare(spark, con, name, QUERIES[name], SQL[name], SF) is None
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
-def test_draws_follow_closed_form(spark):
-    """Drawn quantiles lie near the exact ones of the lognormal model."""
-    from pyspark.sql import functions as F
-    a = catalog.a(spark, SF)
-    exact = {r["p_value"]: r["pct_of_deterministic"] for r in catalog.yc.p_values(a.net_sigma).collect()}
-    d = catalog.p_values_draws(spark, SF).join(a.per_turbine, "turbine").filter("energy_mwh > 0")
-    rel = d.select(*[F.avg(100 * F.col(p) / F.col("energy_mwh")).alias(p) for p in ("p50", "p75", "p90", "p99")]).first()
-    for p in ("p50", "p75", "p90", "p99"):
-        assert abs(rel[p] - exact[p.upper()]) < 0.6

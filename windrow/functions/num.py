@@ -106,3 +106,17 @@ def piecewise_linear(x: Column, nodes) -> Column:
     for (x0, y0), (x1, y1) in zip(nodes, nodes[1:]):
         out = out.when(x <= x1, F.lit(y0) + (x - x0) * ((y1 - y0) / (x1 - x0)))
     return out.when(x.isNotNull(), F.lit(float(nodes[-1][1])))
+
+
+TERMS = [float(m) for m in range(201, 1, -2)]  # odd divisors of the series, the last first
+LEVELS = 40
+
+
+def normal_cdf(z: Column) -> Column:
+    """Distribution function of the standard normal law: a series up to |z| = 6, a continued fraction beyond."""
+    x = F.abs(z)
+    phi = F.exp(-x * x / 2.0) / math.sqrt(2.0 * math.pi)
+    series = x * F.aggregate(F.array(*map(F.lit, TERMS)), F.lit(1.0), lambda acc, m: 1.0 + x * x / m * acc)
+    below = F.aggregate(F.array(*[F.lit(float(k)) for k in range(LEVELS, 0, -1)]), x, lambda acc, k: x + k / acc)
+    upper = F.when(x <= 6.0, 0.5 - phi * series).otherwise(phi / below)
+    return F.when(z < 0, upper).otherwise(1.0 - upper)

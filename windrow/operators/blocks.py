@@ -15,10 +15,22 @@ After ten-minute resampling a block holds at most 4608 rows, which bounds every
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from windrow.functions.rows import buckets_of, land_bucketed
 from windrow.functions.timegrid import block_of
 
+OF_BLOCK = ("first_slot", "least_status", "greatest_status")  # what only concerns the block itself
+
+
+class Blocks(NamedTuple):
+    """Resampled rows and the context of their blocks, both landed in buckets by (turbine, block)."""
+    rows: DataFrame
+    context: DataFrame
+
+
 def in_block():
     return W.partitionBy("turbine", "block").orderBy("slot")
 
@@ -30,9 +42,12 @@ def in_block_back():
 def block_context(rows: DataFrame, history: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per (turbine, block) with what the block needs from its neighbours."""
     aggs = [F.count(F.lit(1)).alias("n"), F.min("slot").alias("first_slot")]
-    for c in carry:
-        point = F.when(F.col(c).isNotNull(), F.struct("slot", F.col(c).alias("v")))
-        aggs += [F.min(point).alias(f"first_{c}"), F.max(point).alias(f"last_{c}")]
+    for c in carry:  # place and value apart: both have a fixed width, which keeps the aggregate hashed
+        at = F.when(F.col(c).isNotNull(), F.col("slot"))
+        aggs += [F.min(at).alias(f"first_at_{c}"), F.min_by(c, at).alias(f"first_{c}"),
+                 F.max(at).alias(f"last_at_{c}"), F.max_by(c, at).alias(f"last_{c}")]
+    if "status" in rows.columns:
+        aggs += [F.min("status").alias("least_status"), F.max("status").alias("greatest_status")]
     src = rows
     if history:
         src = rows.withColumn("_rn", F.row_number().over(in_block_back()))
@@ -46,11 +61,17 @@ def block_context(rows: DataFrame, history: int = 0, carry: tuple[str, ...] = ()
     back = W.partitionBy("turbine").orderBy(F.col("block").desc())
     before = fwd.rowsBetween(W.unboundedPreceding, -1)
     after = back.rowsBetween(W.unboundedPreceding, -1)
-    out = [F.sum("n").over(W.partitionBy("turbine")).alias("n_turbine"),
-           F.lead("first_slot").over(fwd).alias("next_slot")]
+    out = [F.sum("n").over(W.partitionBy("turbine")).alias("n_turbine"), "first_slot",
+           F.lead("first_slot").over(fwd).alias("next_slot"),
+           *[c for c in ("least_status", "greatest_status") if "status" in rows.columns]]
+
+    def point(side: str, c: str) -> Column:
+        return F.when(F.col(f"{side}_at_{c}").isNotNull(),
+                      F.struct(F.col(f"{side}_at_{c}").alias("slot"), F.col(f"{side}_{c}").alias("v")))
+
     for c in carry:
-        out += [F.last(f"last_{c}", ignorenulls=True).over(before).alias(f"lv_{c}"),
-                F.last(f"first_{c}", ignorenulls=True).over(after).alias(f"nv_{c}")]
+        out += [F.last(point("last", c), ignorenulls=True).over(before).alias(f"lv_{c}"),
+                F.last(point("first", c), ignorenulls=True).over(after).alias(f"nv_{c}")]
     if history:
         # every block holds at least one row, so `history` blocks back are enough
         joined = F.flatten(F.collect_list("tail").over(fwd.rowsBetween(-history, -1)))
@@ -64,15 +85,17 @@ def block_context(rows: DataFrame, history: int = 0, carry: tuple[str, ...] = ()
 
 
 def with_history(rows: DataFrame, ctx: DataFrame) -> DataFrame:
-    """Joins the context and puts the `prev` rows in front of each block, marked `is_halo`."""
+    """Joins the context and puts the `prev` rows in front of each block's first row, marked `is_halo`.
+
+    A turbine has one row per slot, as resampling leaves it.
+    """
     cols = [c for c in rows.columns if c not in ("turbine", "block")]
-    extra = [c for c in ctx.columns if c not in ("turbine", "block", "prev")]
+    extra = [c for c in ctx.columns if c not in ("turbine", "block", "prev", *OF_BLOCK)]
     prev_type = ctx.schema["prev"].dataType
     own_row = F.array(F.lit(None).cast(prev_type.elementType))
-    joined = (rows.withColumn("_rn", F.row_number().over(in_block()))
-              .join(ctx, ["turbine", "block"], "left")
+    joined = (rows.join(ctx, ["turbine", "block"], "left")
               .withColumn("_h", F.explode_outer(
-                  F.when((F.col("_rn") == 1) & (F.size("prev") > 0),
+                  F.when((F.col("slot") == F.col("first_slot")) & (F.size("prev") > 0),
                          F.concat("prev", own_row)))))
     pick = [F.when(F.col("_h").isNotNull(), F.col("_h")[c]).otherwise(F.col(c)).alias(c)
             for c in cols]
@@ -106,3 +129,14 @@ def add_block(df: DataFrame) -> DataFrame:
     The filter also makes the plans of rows and context equal, so that their shuffle is shared.
     """
     return df.filter(F.col("turbine").isNotNull()).withColumn("block", block_of())
+
+
+def land_blocks(rows: DataFrame, name: str, history: int, carry: tuple[str, ...]) -> Blocks:
+    """Lands the rows once, spread by (turbine, block), and from there the context, a row per block.
+
+    All that follows in a turbine's order, and the join of both, needs no exchange; the rows are read once.
+    """
+    keys = ("turbine", "block")
+    landed = land_bucketed(add_block(rows).repartition(buckets_of(rows.sparkSession), *keys), f"{name}-rows", *keys)
+    ctx = block_context(landed, history, carry).repartition(buckets_of(rows.sparkSession), *keys)
+    return Blocks(landed, land_bucketed(ctx, f"{name}-context", *keys))

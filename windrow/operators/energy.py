@@ -182,8 +182,8 @@ def monthly_gross(daily: DataFrame, days: float = 30.44, min_days: int = 20,
     return df.select("month", "n_days", (F.col("s") * days / F.col("n_days")).alias("gross_mwh"))
 
 
-def worst_turbines(per_turbine: DataFrame, k: int = 3) -> DataFrame:
-    """Top-k report: turbines with the largest downtime loss."""
-    top = per_turbine.orderBy(F.col("downtime_loss_mwh").desc(), "turbine").limit(k)
-    rank = F.row_number().over(W.orderBy(F.col("downtime_loss_mwh").desc(), "turbine"))
-    return top.select("turbine", "downtime_loss_mwh", rank.alias("rank"))
+def worst_turbines(per_turbine: DataFrame, k: int = 3, by: str = "downtime_loss_mwh") -> DataFrame:
+    """Top-k report: turbines with the largest downtime loss, or the largest value of another column."""
+    top = per_turbine.orderBy(F.col(by).desc(), "turbine").limit(k)
+    rank = F.row_number().over(W.orderBy(F.col(by).desc(), "turbine"))
+    return top.select("turbine", by, rank.alias("rank"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from windrow.functions.num import air_density_ratio
 from windrow.functions.timegrid import month_of, timestamp_of
 from windrow.operators import timeseries as ts
-from windrow.operators.blocks import add_block, in_block, with_history
+from windrow.operators.blocks import Blocks, add_block, in_block, land_blocks, with_history
 from windrow.operators.curve import expected_power, power_at
 from windrow.params import FarmParams
 from windrow.schema import FLAG_LABELS
@@ -43,9 +43,9 @@ def history_rows(p: FarmParams) -> int:
     return max(n_low + n_curt - 2, FROZEN_ROWS - 1)
 
 
-def usable_status(rows: DataFrame) -> DataFrame:
-    """One row: does the status column hold at least two different codes?"""
-    return rows.agg(F.coalesce(F.min("status") < F.max("status"), F.lit(False)).alias("has_status"))
+def usable_status(ctx: DataFrame) -> DataFrame:
+    """One row: does the status column hold at least two different codes, over all blocks?"""
+    return ctx.agg(F.coalesce(F.min("least_status") < F.max("greatest_status"), F.lit(False)).alias("has_status"))
 
 
 def status_flag(status: Column, p: FarmParams) -> Column:
@@ -142,17 +142,25 @@ def farm_rules(df: DataFrame, p: FarmParams) -> DataFrame:
             .drop("_spread", "_farm", "frozen_candidate"))
 
 
-def record_rules(rows: DataFrame, grid: DataFrame, p: FarmParams, has_status=None) -> DataFrame:
+def flag_blocks(rows: DataFrame, p: FarmParams, name: str = "blocks") -> Blocks:
+    """Lands resampled rows and the context that flags and gap filling need."""
+    return land_blocks(rows, name, history_rows(p), ts.FILLED)
+
+
+def record_rules(rows: DataFrame | Blocks, grid: DataFrame, p: FarmParams, has_status=None) -> DataFrame:
     """Resampled rows with expected power and all flags that need only the turbine's own series.
 
-    `has_status` may be given; otherwise it is decided from the whole input.
+    `has_status` may be given; otherwise it is decided from the whole input. Landed blocks are read once; rows that are
+    not landed are read for the rules, for the context and for the status.
     """
-    blocked = add_block(rows)
-    ctx = ts.gap_context(blocked, history=history_rows(p))
+    blocked, ctx = rows if isinstance(rows, Blocks) else (None, None)
+    if blocked is None:
+        blocked = add_block(rows)
+        ctx = ts.gap_context(blocked, history=history_rows(p))
     df = with_history(blocked, ctx)
     df = power_at(df, grid, "ws", "expected_power_kw")
     if has_status is None:
-        df = df.withColumn("has_status", usable_status(rows).scalar())
+        df = df.withColumn("has_status", usable_status(ctx).scalar())
     else:
         df = df.withColumn("has_status", F.lit(bool(has_status)))
     df = rolling_flags(base_flags(df, p), p)
@@ -162,11 +170,11 @@ def record_rules(rows: DataFrame, grid: DataFrame, p: FarmParams, has_status=Non
     return df.withColumn("expected_power_kw", expected_power(p))
 
 
-def flag_records(rows: DataFrame, grid: DataFrame, p: FarmParams, has_status=None,
+def flag_records(rows: DataFrame | Blocks, grid: DataFrame, p: FarmParams, has_status=None,
                  fill: bool = True) -> DataFrame:
     """The flagged ten-minute table: flags, gap filling, imputation and energies.
 
-    Beyond the resampling, the rows move twice: by (turbine, block) and by slot.
+    Landed blocks move once more, by slot; rows that are not landed by (turbine, block) before.
     """
     df = record_rules(rows, grid, p, has_status)
     if fill:

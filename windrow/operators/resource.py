@@ -82,10 +82,21 @@ def density_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
         (F.count(F.lit(1)) / (F.first("total") * F.first(width))).alias("density"))
 
 
-def pp_sample(flagged: DataFrame, n: int = 30000) -> DataFrame:
-    """At most n records of measured against expected power, chosen by hash (repeatable)."""
-    return (valid_wind(flagged).withColumn("_h", F.md5(F.concat_ws("|", "turbine", "slot")))
-            .orderBy("_h", "turbine", "slot").limit(n)
+def pp_density(flagged: DataFrame, width_kw: float = 100.0) -> DataFrame:
+    """Records per bin of expected and of measured power, over all records with both."""
+    both = valid_wind(flagged).filter("power_kw is not null and expected_power_kw is not null")
+    return both.groupBy(F.floor(F.col("expected_power_kw") / width_kw).alias("expected_bin"),
+                        F.floor(F.col("power_kw") / width_kw).alias("measured_bin")).agg(
+        F.count(F.lit(1)).alias("count"), F.avg("ws").alias("mean_ws"))
+
+
+def pp_sample(flagged: DataFrame, share: float = 0.1) -> DataFrame:
+    """A share of the records of measured against expected power, chosen by the hash of turbine and slot.
+
+    The same record is chosen or not at every size of the input and on every run.
+    """
+    first = F.substring(F.md5(F.concat_ws("|", "turbine", "slot")), 1, 8)
+    return (valid_wind(flagged).filter(first < F.lit(f"{min(int(share * (1 << 32)), (1 << 32) - 1):08x}"))
             .select("turbine", "slot", "ws", "power_kw", "expected_power_kw"))
 
 

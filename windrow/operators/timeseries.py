@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from windrow.functions.num import angle
 from windrow.functions.rows import land
 from windrow.functions.timegrid import slot_of
-from windrow.operators.blocks import add_block, block_context, brackets, next_slot_in_series
+from windrow.operators.blocks import OF_BLOCK, Blocks, add_block, block_context, brackets, next_slot_in_series
 from windrow.schema import PHYSICALS
 
 MIN_ROWS_TO_FILL = 10
@@ -205,10 +205,14 @@ def gap_context(blocked: DataFrame, history: int = 0) -> DataFrame:
     return block_context(blocked, history=history, carry=FILLED)
 
 
-def gap_fill(rows: DataFrame, limit: int = 36) -> DataFrame:
-    """Gap filling on resampled rows alone (no flags)."""
-    blocked = add_block(rows)
-    joined = blocked.join(gap_context(blocked), ["turbine", "block"], "left")
+def gap_fill(rows: DataFrame | Blocks, limit: int = 36) -> DataFrame:
+    """Gap filling on resampled rows alone (no flags); landed blocks are read once and don't move."""
+    if isinstance(rows, Blocks):
+        blocked, ctx = rows.rows, rows.context.drop("prev")
+    else:
+        blocked = add_block(rows)
+        ctx = gap_context(blocked)
+    joined = blocked.join(ctx.drop(*OF_BLOCK), ["turbine", "block"], "left")
     return fill_gaps(joined, limit).drop("block")
 
 
@@ -231,7 +235,7 @@ def gap_fill_tiered(rows: DataFrame, grid: DataFrame, short: int = 6, medium: in
 
     blocked = add_block(rows.select("turbine", "slot", "ws", "power_kw"))
     ctx = block_context(blocked, carry=("ws",))
-    placed = brackets(blocked.join(ctx, ["turbine", "block"], "left"), ("ws",))
+    placed = brackets(blocked.join(ctx.drop(*OF_BLOCK), ["turbine", "block"], "left"), ("ws",))
     placed = placed.withColumn("_next", next_slot_in_series())
     gap = missing_slots()
     own = F.array(F.lit(None).cast("bigint"))

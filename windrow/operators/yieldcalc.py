@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from windrow.functions.num import clip
+from windrow.functions.num import clip, normal_cdf
 from windrow.functions.rows import unpivot_row, with_scalars
 from windrow.operators.longterm import aep_weibull
 from windrow.params import FarmParams
@@ -134,8 +134,7 @@ def uncertainty_components(net: DataFrame, sigma: DataFrame, p: FarmParams) -> D
 
 def with_sigma(net: DataFrame, components: DataFrame) -> DataFrame:
     """Adds the combined sigma (as a fraction) and mean / standard deviation of net energy."""
-    s = components.agg((F.sqrt(F.sum(F.col("sigma_pct") * F.col("sigma_pct"))) / 100.0).alias("sigma"))
-    df = with_scalars(net, s)
+    df = with_scalars(net, _sigma(components))
     mean = F.col("net_mwh") * F.exp(F.col("sigma") * F.col("sigma") / 2.0)
     return df.withColumns({"mean_mwh": mean,
                            "sd_mwh": mean * F.sqrt(F.exp(F.col("sigma") * F.col("sigma")) - 1.0)})
@@ -158,32 +157,36 @@ def p_values(net_sigma: DataFrame) -> DataFrame:
                        ("p_value", "net_aep_mwh", "pct_of_deterministic"))
 
 
-def yield_draws(df: DataFrame, components: DataFrame, keys: tuple[str, ...], net: str,
-                p: FarmParams) -> DataFrame:
-    """Random yields per row of `df`: net energy times one lognormal factor per component.
+def yield_quantiles(df: DataFrame, components: DataFrame, keys: tuple[str, ...], net: str) -> DataFrame:
+    """Exceedance values per row of `df`, whose energy is multiplied by one lognormal factor per component."""
+    rows = with_scalars(df, _sigma(components))
+    return rows.select(*keys, *[(F.col(net) * F.exp(-Z[k] * F.col("sigma"))).alias(k.lower())
+                                for k in ("P50", "P75", "P90", "P99")])
 
-    The numbers come from hashes of key, draw and component, so a repeated task gives the same draws.
-    """
-    sig = components.agg(F.sort_array(F.collect_list(F.struct("ord", "sigma_pct"))).alias("a")).scalar()
-    drawn = df.select(*keys, F.col(net).alias("_net"), sig.alias("_c"),
-                      F.explode(F.sequence(F.lit(1), F.lit(p.draws))).alias("draw"))
 
-    def uniform(c, salt):
-        h = F.xxhash64(*keys, "draw", c["ord"], F.lit(p.draw_seed), F.lit(salt))
-        return (F.shiftrightunsigned(h, 11) + 0.5) / float(2 ** 53)
+def yield_density(df: DataFrame, components: DataFrame, net: str, bins: int = 80, reach: float = 4.0) -> DataFrame:
+    """Density of the yield over all rows of `df` in equal bins, `reach` sigmas beyond the lowest and highest energy.
+
+    Every row has a lognormal law; a bin's share is the mean of the rows' shares, which is exact. Rows without energy
+    have no law and are left out.
+    """
+    known = df.filter(F.col(net) > 0).select(F.col(net).alias("_net"))
+    rows = with_scalars(known, _sigma(components))
+    span = rows.agg(F.min(F.col("_net") * F.exp(-reach * F.col("sigma"))).alias("lo"),
+                    F.max(F.col("_net") * F.exp(reach * F.col("sigma"))).alias("hi"), F.count(F.lit(1)).alias("n"))
+    placed = with_scalars(rows, span).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    width = (F.col("hi") - F.col("lo")) / bins
 
-    def normal(c):
-        return F.sqrt(-2.0 * F.log(uniform(c, 1))) * F.cos(2.0 * math.pi * uniform(c, 2))
+    def below(edge: Column) -> Column:
+        return normal_cdf(F.log(edge / F.col("_net")) / F.col("sigma"))
 
-    exponent = F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + normal(c) * c["sigma_pct"] / 100.0)
-    return drawn.select(*keys, "draw", (F.col("_net") * F.exp(exponent)).alias("yield_mwh"))
+    low = F.col("lo") + F.col("bin") * width
+    share = (below(low + width) - below(low)) / (F.col("n") * width)
+    return placed.groupBy("bin", low.alias("from_mwh"), width.alias("width_mwh")).agg(F.sum(share).alias("density"))
 
 
-def draw_quantiles(draws: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Exceedance values from the draws (groups hold `draws` rows each)."""
-    q = F.percentile("yield_mwh", [0.5, 0.25, 0.1, 0.01])
-    return draws.groupBy(*keys).agg(q.alias("_q")).select(
-        *keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(("p50", "p75", "p90", "p99"))])
+def _sigma(components: DataFrame) -> DataFrame:
+    return components.agg((F.sqrt(F.sum(F.col("sigma_pct") * F.col("sigma_pct"))) / 100.0).alias("sigma"))
 
 
 # ---- report tables -------------------------------------------------------------------------

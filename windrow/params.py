@@ -63,5 +63,3 @@ class FarmParams:
     site_elevation_m: float = 0.0
     preconstruction_p50_gwh: float | None = None
     uncertainty_overrides_pct: dict = field(default_factory=dict)
-    draws: int = 20000
-    draw_seed: int = 42

@@ -275,6 +275,7 @@ def assess(records: DataFrame, params: FarmParams, nodes: DataFrame | None = Non
     if measure_interval:
         rows = land(rows, "resampled")
         params = replace(params, interval_h=ts.sampling_interval(rows).first()["interval_h"])
+    rows = flags.flag_blocks(rows, params)
     nodes = nodes if nodes is not None else curve.generic_curve(spark, params)
     flagged = land(flags.flag_records(rows, curve.curve_grid(nodes, params), params), "flagged", "month")
     return Assessment(flagged, nodes, params, reference, layout, has_direction=has_direction)

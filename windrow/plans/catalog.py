@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from windrow import sinks
 from windrow.functions import num
-from windrow.functions.rows import with_scalars
+from windrow.functions.rows import scratch_dir, with_scalars
 from windrow.functions.timegrid import slot_of, timestamp_of
 from windrow.operators import (curve, energy, flags, layout as lay, longterm as lt, powercurve as pc,
                                resource, timeseries as ts, wake, yaw, yieldcalc as yc)
@@ -95,6 +99,29 @@ def file_overlap(s, d):
     return out(files.file_overlap(files.file_profile(_filed(s, d))))
 
 
+def file_overlap_groups(s, d):
+    return out(files.overlap_groups(files.file_profile(_filed(s, d))))
+
+
+def file_overlaps_of(s, d):
+    return out(files.overlaps_of(files.file_profile(_filed(s, d)), "part_0001.csv"))
+
+
+def months_rewritten(s, d):
+    """All months written, then the first one again with half its power; read back by month."""
+    path = os.path.join(scratch_dir(s), f"months-{uuid.uuid4().hex}")
+    df = flagged(s, d)
+    sinks.rewrite_months(df, path, f"{path}-audit", "first")
+    first = df.agg(F.min("month").alias("m")).scalar()
+    again = df.filter(F.col("month") == first).withColumn("power_kw", F.col("power_kw") / 2)
+    sinks.rewrite_months(again, path, f"{path}-audit", "second")
+    runs = s.read.schema("month string, run string, rows long").parquet(f"{path}-audit").groupBy("month").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("rows").alias("rows_written"))
+    held = sinks.read_months(s, path, df).groupBy("month").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("power_kw").alias("power"), F.min("flag").alias("least_flag"))
+    return out(held.join(runs, "month"))
+
+
 def input_extent(s, d):
     return out(files.input_extent(tb.scada(s, d)))
 
@@ -228,11 +255,11 @@ def time_spine(s, d):
 
 
 def gap_fill_linear(s, d):
-    return out(ts.gap_fill(tb.resampled(s, d)).select("turbine", "slot", "ws", "temp_c", "power_kw", "gap_filled"), 6)
+    return out(ts.gap_fill(tb.blocks(s, d)).select("turbine", "slot", "ws", "temp_c", "power_kw", "gap_filled"), 6)
 
 
 def gap_fill_circular(s, d):
-    df = ts.gap_fill(tb.resampled(s, d)).filter("gap_filled = 1")
+    df = ts.gap_fill(tb.blocks(s, d)).filter("gap_filled = 1")
     return out(df.select("turbine", "slot", "dir_deg", "wind_dir_deg"))
 
 
@@ -307,7 +334,7 @@ def expected_energy(s, d):
 
 
 def qc_flags(s, d):
-    df = flags.flag_records(tb.resampled(s, d), tb.grid(s), P, fill=False)
+    df = flags.flag_records(tb.blocks(s, d), tb.grid(s), P, fill=False)
     return out(df.select("turbine", "slot", "flag", "flag_reason"))
 
 
@@ -317,7 +344,7 @@ def qc_status_map(s, d):
 
 def _nostatus(s, d):
     return tb.landed(s, ("nostatus", d), lambda: flags.flag_records(
-        ts.resample_10min(tb.scada_nostatus(s, d)), tb.grid(s), P))
+        flags.flag_blocks(ts.resample_10min(tb.scada_nostatus(s, d)), P, "nostatus"), tb.grid(s), P))
 
 
 def qc_sustained_low(s, d):
@@ -337,7 +364,7 @@ def qc_environment(s, d):
 
 def _frozen(s, d):
     return tb.landed(s, ("frozen", d), lambda: flags.flag_records(
-        ts.resample_10min(tb.scada_frozen(s, d)), tb.grid(s), P))
+        flags.flag_blocks(ts.resample_10min(tb.scada_frozen(s, d)), P, "frozen"), tb.grid(s), P))
 
 
 def qc_frozen_anemometer(s, d):
@@ -436,6 +463,11 @@ def worst_turbines(s, d):
     return out(energy.worst_turbines(a(s, d).per_turbine))
 
 
+def worst_deviation(s, d):
+    dev = pc.curve_deviation(a(s, d).curve_base, a(s, d).nodes, P)
+    return out(energy.worst_turbines(dev, by="deviation_pct"))
+
+
 # ---- power curve -----------------------------------------------------------------------------
 
 
@@ -494,6 +526,10 @@ def pp_sample(s, d):
     return out(resource.pp_sample(flagged(s, d)))
 
 
+def pp_density(s, d):
+    return out(resource.pp_density(flagged(s, d)), 6)
+
+
 def weibull_fit(s, d):
     fit = resource.weibull_fit(resource.wind_moments(flagged(s, d), ("turbine",)))
     return out(fit, 5)
@@ -684,17 +720,15 @@ def p_values(s, d):
 
 
 def p_values_draws(s, d):
-    """Drawn exceedance values per turbine, from each turbine's produced energy."""
+    """Exceedance values per turbine, from each turbine's produced energy; exact where draws would scatter."""
     x = a(s, d)
-    draws = yc.yield_draws(x.per_turbine, x.components, ("turbine",), "energy_mwh", P)
-    return out(yc.draw_quantiles(draws, ("turbine",)))
+    return out(yc.yield_quantiles(x.per_turbine, x.components, ("turbine",), "energy_mwh"), 3)
 
 
 def yield_histogram(s, d):
-    """Density of the draws of all turbines' energies in 80 bins."""
+    """Density of all turbines' energies in 80 bins."""
     x = a(s, d)
-    draws = yc.yield_draws(x.per_turbine, x.components, ("turbine",), "energy_mwh", P)
-    return out(resource.density_histogram(draws, "yield_mwh", 80), 8)
+    return out(yc.yield_density(x.per_turbine, x.components, "energy_mwh"), 6)
 
 
 def benchmark(s, d):
@@ -713,8 +747,8 @@ def kpi_summary(s, d):
     return out(yc.kpi_summary(a(s, d).kpis, P), 3)
 
 
-SOURCES = (scan_scada, scan_column_map, multi_file_union, file_profile, file_overlap, input_extent,
-           time_window_filter, warranted_curve, generic_curve, layout_scan, reference_daily,
+SOURCES = (scan_scada, scan_column_map, multi_file_union, file_profile, file_overlap,
+           file_overlap_groups, file_overlaps_of, months_rewritten, input_extent, time_window_filter, warranted_curve, generic_curve, layout_scan, reference_daily,
            wide_to_long, coerce_decimal_comma, parse_dayfirst, status_text_map, unit_scale,
            mw_autodetect, clean_ranges)
 SERIES = (resample_10min, sampling_interval, dedup_last_wins, time_spine, gap_fill_linear,
@@ -726,10 +760,10 @@ FLAGS = (qc_flags, qc_status_map, qc_sustained_low, qc_curtail_derate, qc_enviro
 ENERGY = (energy_accounting, downtime_split, availability_turbine, availability_farm,
           availability_monthly, downtime_monthly, downtime_pivot, performance_monthly,
           yearly_production, loss_matrix, energy_balance, loss_calculation, performance_energy,
-          daily_gross, monthly_gross, worst_turbines, power_curve_farm, power_curve_turbine,
+          daily_gross, monthly_gross, worst_turbines, worst_deviation, power_curve_farm, power_curve_turbine,
           curve_deviation, curve_delta)
 RESOURCE = (wind_rose, rose_freq, wind_rose_classes, wind_summary, wind_monthly, wind_diurnal,
-            wind_histogram, daily_histogram, pp_sample, weibull_fit, weibull_pdf)
+            wind_histogram, daily_histogram, pp_sample, pp_density, weibull_fit, weibull_pdf)
 WAKE = (wake_sector, wake_reference_set, wake_free_stream, wake_deficit, wake_sector_table,
         wake_turbine_table, wake_loss, wake_layout_pairs, wake_layout_turbine, wake_layout_sector,
         wake_layout_farm)

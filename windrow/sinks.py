@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from windrow.params import FarmParams
 
@@ -22,6 +22,26 @@ def write_flagged(flagged: DataFrame, path: str, fmt: str = "parquet", float32:
     out.option("header", True).format(fmt).save(path)
 
 
+def rewrite_months(flagged: DataFrame, path: str, audit: str, run: str) -> None:
+    """Writes the months that `flagged` holds and leaves all others as they are; the folder may not exist yet.
+
+    Every month is replaced as a whole, and a row per month and run goes to the audit folder before: month, run, rows,
+    period. Writing a month again, after an executor was lost or with corrected records, gives the same files' content.
+    """
+    df = flagged.select(*EXPORT, "month")
+    rows = df.groupBy("month").agg(F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("first_ts"),
+                                   F.max("timestamp").alias("last_ts"))
+    rows.withColumn("run", F.lit(run)).coalesce(1).write.mode("append").parquet(audit)
+    (df.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("month").parquet(path))
+
+
+def read_months(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What `rewrite_months` left, with the columns' types of `like` (a month would be read back as a date)."""
+    schema = like.select(*EXPORT, "month").schema
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> list[str]:
     """One folder per result table."""
     paths = []

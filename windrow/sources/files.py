@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from windrow.functions.rows import buckets_of, land
 from windrow.operators.timeseries import dedup_last_wins, resample_10min
 
 BLOCK_DAYS = 32
@@ -20,7 +21,8 @@ def file_overlap(profile: DataFrame) -> DataFrame:
     """Pairs of files whose periods overlap; `file_a` comes first in file name order.
 
     An interval join on 32-day blocks: files meet only in blocks that both cover, and a pair is
-    reported in the block where the later one starts.
+    reported in the block where the later one starts. The result has all pairs; where many files cover one period,
+    `overlap_groups` tells in one sweep what hangs together, and `overlaps_of` the pairs of one file.
     """
     blocks = profile.select("file", "start", "end", F.explode(F.sequence(
         F.expr(f"cast(floor(unix_date(to_date(start)) / {BLOCK_DAYS}) as int)"),
@@ -35,6 +37,41 @@ def file_overlap(profile: DataFrame) -> DataFrame:
         later.alias("overlap_start"), F.least(F.col("a.end"), F.col("b.end")).alias("overlap_end"))
 
 
+def overlap_groups(profile: DataFrame) -> DataFrame:
+    """Per file whether it overlaps another one, and the period of the files it hangs together with.
+
+    A sweep in the order of starts: files are spread by ranges of their starts, every part hands its greatest end, and
+    the start of its last group, to the parts behind it, a row each. Files without a period have no group.
+    """
+    parts = buckets_of(profile.sparkSession)
+    swept = land(profile.filter("start is not null and end is not null").select("file", "start", "end")
+                 .repartitionByRange(parts, "start", "file").withColumn("part", F.spark_partition_id()), "sweep")
+    own = W.partitionBy("part").orderBy("start", "file")
+    before = own.rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per part
+    ends = swept.groupBy("part").agg(F.max("end").alias("e")).select("part", F.max("e").over(earlier).alias("carried"))
+    seen = swept.join(F.broadcast(ends), "part").withColumn(
+        "reached", F.greatest(F.max("end").over(before), F.col("carried")))
+    new = F.col("reached").isNull() | (F.col("start") > F.col("reached"))
+    seen = land(seen.withColumn("begun", F.when(new, F.struct("start", "file"))), "sweep-groups")
+    last = seen.groupBy("part").agg(F.max("begun").alias("b")).select(
+        "part", F.last("b", ignorenulls=True).over(earlier).alias("carried_group"))
+    grouped = seen.join(F.broadcast(last), "part").withColumn("of", F.coalesce(
+        F.last("begun", ignorenulls=True).over(own.rowsBetween(W.unboundedPreceding, 0)), F.col("carried_group")))
+    spans = grouped.groupBy("of").agg(F.max("end").alias("group_end"), F.count(F.lit(1)).alias("n_files"))
+    return grouped.join(spans, "of").select(
+        "file", "start", "end", F.col("of.start").alias("group_start"), "group_end", "n_files",
+        (F.col("n_files") > 1).alias("overlaps"))
+
+
+def overlaps_of(profile: DataFrame, file: str) -> DataFrame:
+    """The files whose periods overlap that of `file`: start and end of what they share."""
+    one = profile.filter(F.col("file") == file).select(F.col("start").alias("_s"), F.col("end").alias("_e"))
+    met = profile.filter(F.col("file") != file).join(
+        F.broadcast(one), (F.col("start") <= F.col("_e")) & (F.col("_s") <= F.col("end")))
+    return met.select("file", F.greatest("start", "_s").alias("overlap_start"), F.least("end", "_e").alias("overlap_end"))
+
+
 def input_extent(df: DataFrame) -> DataFrame:
     """One row: period, records and turbines of the whole input."""
     return df.agg(F.min("timestamp").alias("start"), F.max("timestamp").alias("end"),
