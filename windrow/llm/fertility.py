@@ -33,7 +33,7 @@ SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WINDOW = 8  # words
 LEAST_WORDS, MOST_REPEATED = 20, 30  # words; repeated words in a hundred
 SPREAD = 0.8
-KEPT = 1 << 18  # parts of texts whose identifiers are kept
+KEPT = 1 << 20  # parts of texts whose identifiers are kept
 MARK = "▁"
 #: a space beside other white space, which vocabularies may cut together with it
 BESIDE = re.compile(r"\s | \s")
@@ -111,8 +111,11 @@ class Pieces:
     def ids(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
 
-    def ids_of(self, parts: list[str]) -> list[list[int]]:
-        return self.model.encode(parts, num_threads=1)
+    def ids_of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of all parts, and how many each has."""
+        found = self.model.encode(parts, num_threads=1)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.int32, sizes.sum()), sizes
 
 
 class Ranks:
@@ -124,7 +127,9 @@ class Ranks:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         self.model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.single = np.zeros(max(ranks.values()) + 1, bool)
+        self.bytes = np.zeros(len(self.single), np.int64)
         for piece, i in ranks.items():
+            self.bytes[i] = len(piece)
             try:
                 piece.decode()
             except UnicodeDecodeError:
@@ -133,8 +138,12 @@ class Ranks:
     def ids(self, text: str) -> list[int]:
         return self.model.encode_ordinary(text)
 
-    def ids_of(self, parts: list[str]) -> list[list[int]]:
-        return [self.model.encode_ordinary(" " + p) for p in parts]
+    def ids_of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As of Pieces; the parts are cut as one text, and told apart by the bytes of their tokens."""
+        parts = [" " + p for p in parts]
+        ids = np.array(self.model.encode_ordinary("".join(parts)), np.int32)
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in parts])) + 1
+        return ids, np.diff(ends, prepend=0)
 
 
 class Cut(NamedTuple):
@@ -151,7 +160,7 @@ class Known:
     def __init__(self, *vocabularies: Pieces | Ranks):
         self.vocabularies, self.place = vocabularies, {}
         none = np.zeros(0, np.int64)
-        self.held = [(none, none, none) for _ in vocabularies]  # identifiers, starts and sizes of the parts
+        self.held = [(none.astype(np.int32), none, none) for _ in vocabularies]  # identifiers, starts and sizes of the parts
 
     def learn(self, parts: set[str]) -> None:
         """Forgets all others if there would be too many."""
@@ -164,10 +173,8 @@ class Known:
             if not v.parts:
                 continue
             ids, starts, sizes = self.held[k]
-            found = v.ids_of(new)
-            more = np.fromiter(map(len, found), np.int64, len(new))
+            found, more = v.ids_of(new)
             ends = len(ids) + np.cumsum(more)
-            found = np.fromiter(itertools.chain.from_iterable(found), np.int64, more.sum())
             self.held[k] = tuple(map(np.concatenate, ((ids, found), (starts, ends - more), (sizes, more))))
 
     def cuts(self, text: str, rest: list[str] | None) -> list[Cut]:
@@ -183,7 +190,7 @@ class Known:
                 sizes = sizes[at]
                 ends = np.cumsum(sizes)
                 found = ids[np.repeat(starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-                found = np.concatenate([np.array(v.ids(first), np.int64), found])
+                found = np.concatenate([np.array(v.ids(first), np.int32), found])
             out.append(cut(found, len(text), v.single))
         return out
 
