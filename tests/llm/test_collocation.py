@@ -71,11 +71,11 @@ def test_slices(monkeypatch):
 
 def test_index_extends_both_ways():
     r = np.random.default_rng(2)
-    for many in (4, 40):
+    for many in (4, 40, 70000):
         s = np.concatenate([[0], r.integers(0, many, 500), [0]]).astype(np.int32)
-        counts = np.bincount(s, minlength=many)
-        x = collocation.Index(counts, collocation.last_column(s).tobytes(),
-                              collocation.last_column(s[::-1].copy()).tobytes(), np.arange(len(counts)))
+        counts = np.bincount(s, minlength=many)  # beyond 65,536 in four bytes
+        sides = [collocation.narrow(collocation.last_column(x), len(counts)).tobytes() for x in (s, s[::-1].copy())]
+        x = collocation.Index(counts, *sides, np.arange(len(counts)))
         for steps in ("LRL", "RLR", "LLL", "RRR"):
             p = x.words()
             for i, step in enumerate(steps):

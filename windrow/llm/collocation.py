@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from windrow.llm.common import Landing, batch_rows, bitmap, held, mixed, ship
 
 DEPTH = 4  # words of the longest phrase
-SHARD = 1 << 20  # words
+SHARD = 1 << 19  # words
 SLICE = 1 << 22  # bytes of a text that are cut into words at a time
 SYMBOL = 31  # bits of a word's number
 BITS = 1 << 26  # of the bitmap
@@ -72,11 +72,17 @@ def last_column(s: np.ndarray) -> np.ndarray:
     return np.roll(s, 1)[order]
 
 
+def narrow(column: np.ndarray, n: int) -> np.ndarray:
+    """In two bytes where n numbers allow it."""
+    return column.astype(np.uint16) if n <= 1 << 16 else column
+
+
 class Side:
     """One direction of an index."""
 
-    def __init__(self, column: np.ndarray):
-        self.column = column.astype(np.int64)
+    def __init__(self, column: bytes, n: int):
+        self.column = np.frombuffer(column, np.uint16 if n <= 1 << 16 else np.int32).astype(np.int64)
+        column = self.column
         self.places = np.sort(self.column << 32 | np.arange(len(column)))
 
     def extend(self, low: np.ndarray, other: np.ndarray, size: np.ndarray) -> tuple:
@@ -105,7 +111,7 @@ class Index:
     """Bidirectional index of a shard; `numbers` holds each word's number among all frequent words, or 0."""
 
     def __init__(self, counts: np.ndarray, to_left: bytes, to_right: bytes, numbers: np.ndarray):
-        self.sides = Side(np.frombuffer(to_left, np.int32)), Side(np.frombuffer(to_right, np.int32))
+        self.sides = Side(to_left, len(counts)), Side(to_right, len(counts))
         self.counts, self.numbers = counts, numbers
 
     def words(self) -> Patterns:
@@ -147,7 +153,7 @@ def shards(docs: DataFrame, text: str, lang: str | None) -> DataFrame:
             words = [w.decode() for w in t.numbers if w != END]
             counts = np.bincount(s, minlength=len(t.numbers))
             made += 1
-            sides = last_column(s), last_column(np.ascontiguousarray(s[::-1]))
+            sides = [narrow(last_column(x), len(t.numbers)) for x in (s, np.ascontiguousarray(s[::-1]))]
             return pa.RecordBatch.from_arrays(
                 [pa.array([base + made]), pa.array([name]), pa.array([words], pa.list_(pa.string())),
                  pa.array([counts], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in sides)],
