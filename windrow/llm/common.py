@@ -30,7 +30,7 @@ def scratch(spark: SparkSession) -> str:
 
 
 class Recent(dict):
-    """Results of `make` for the keys met most recently, in two generations of `most` keys each."""
+    """Results of `make` for the keys met most recently, in two generations of `most` keys each; `[key]` makes them."""
 
     def __init__(self, make: Callable, most: int = 1 << 16):
         super().__init__()
@@ -42,6 +42,8 @@ class Recent(dict):
             out = self.make(key)
         return self.keep(key, out)
 
+    __missing__ = find
+
     def keep(self, key, out):
         if len(self) >= self.most:
             self.old = dict(self)

@@ -3,8 +3,8 @@
 Pairs wait in a heap by rank and place, symbols form a linked list; the lowest pair is popped and merged until
 none is left. A text's tokens are its first symbols less its merges, with the bytes of a character that the
 vocabulary lacks as symbols of their own. Texts are cut where no piece of the vocabulary can span: before a word
-mark that follows another character, and around characters that no longer piece holds. Counts of such units are
-kept in a dictionary of bounded size, which forgets those not met for long.
+mark that follows another character, and around characters that no longer piece holds. Counts of such units, and of
+what stands between single spaces, are kept in dictionaries of bounded size, which forget those not met for long.
 
 Null and empty texts have no tokens. Very long texts are counted whole; a unit of n characters takes n log n steps.
 """
@@ -25,6 +25,7 @@ from windrow.llm.bpe import vocabulary
 from windrow.llm.common import Recent
 
 MARK = "▁"
+PARTS = 1 << 19  # parts between spaces whose counts are kept, twice
 
 
 def count_merged(symbols: list[str], ranks: dict[str, float], extra: Callable[[str], int]) -> int:
@@ -73,6 +74,8 @@ class Counter:
         letters = f"[{held}{MARK}]+" if spans else f"{MARK}+[{held}]*|[{held}]+"
         self.units = regex.compile(f"{letters}|.", regex.DOTALL)
         self.known: Recent[str, int] = Recent(self.unit)
+        #: what stands between two single spaces is a text of its own if no longer piece has a mark behind other characters
+        self.parts: Recent[str, int] | None = Recent(self.part, PARTS) if self.plain and self.prefix and not spans else None
 
     def unknown(self, symbol: str) -> int:
         """Tokens of a final symbol beyond one."""
@@ -81,15 +84,19 @@ class Counter:
     def unit(self, text: str) -> int:
         return count_merged(list(text), self.ranks, self.unknown)
 
+    def part(self, text: str) -> int:
+        return sum(map(self.known.__getitem__, self.units.findall(MARK + text)))
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
+        if self.parts is not None and not (text[0] == " " or text[-1] == " " or "  " in text or MARK in text):
+            return sum(map(self.parts.__getitem__, text.split(" ")))
         if self.plain:
             text = (MARK if self.prefix else "") + text.replace(" ", MARK)
         else:
             text = self.normal.normalize(text)
-        get, find = self.known.get, self.known.find
-        return sum([get(u) or find(u) for u in self.units.findall(text)])
+        return sum(map(self.known.__getitem__, self.units.findall(text)))
 
 
 @functools.lru_cache(maxsize=2)
