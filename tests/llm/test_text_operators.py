@@ -299,3 +299,28 @@ def test_mixture_of_weakly_separated_domains(spark):
     # no slope is left: by the definition of the least
     miss = ((n * x) @ p / n.sum() - goal) / (n @ p / n.sum())
     assert np.allclose(x, np.maximum(0, 1 - p @ miss / mixing.PULL), atol=0.02)
+
+
+def test_equal_neighbours_count_by_row_number():
+    vectors = np.tile(np.array([[1.0, 0.0]], np.float32), (4000, 1))
+    labels = np.zeros(4000, np.float32)
+    labels[:quality.VOTES] = 1
+    model = quality.Model(None, None, vectors, labels)
+    assert (model.votes(np.array([[1.0, 0.0], [0.6, 0.8]], np.float32)) == 1.0).all()
+    r = np.random.default_rng(0)
+    for _ in range(30):
+        near, k = r.integers(0, 4, (7, 30)).astype(np.float32), int(r.integers(1, 31))
+        want = np.sort(np.argsort(-near, axis=1, kind="stable")[:, :k], axis=1)
+        assert (np.sort(quality.nearest(near, k), axis=1) == want).all()
+
+
+def test_token_count_of_parts_as_of_whole_texts():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        counter = token_count.Counter(f.read())
+    r = random.Random(6)
+    for _ in range(2000):
+        text = "".join(r.choice(["a", "th", "é", "漢", " ", " ", "  ", "▁", "\n", "\t", ".", "e r", "\u3000"])
+                       for _ in range(r.randint(0, 20)))
+        assert counter.count(text) == len(library.encode(text))

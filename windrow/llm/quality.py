@@ -13,7 +13,7 @@ columns pass through, and a column of the score's name is replaced.
 
 from __future__ import annotations
 
-from collections import Counter
+import operator
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,6 +29,7 @@ WORDS, SHAPES = 4096, 512
 TERMS = WORDS + SHAPES + 1
 NEIGHBOURS, DIMS, VOTES = 4000, 48, 15
 BLOCK = 512  # documents compared at a time
+KEPT = 1 << 18  # words whose places are kept, twice
 SHAPE_WEIGHT = 4.0  # of shapes and repetitions; single words say little of quality
 
 
@@ -38,27 +39,38 @@ def shape(word: str) -> str:
     return f"{case}{'d' if any(c.isdigit() for c in word) else ''}{'x' if len(letters) > 14 else ''}{word[len(letters):][-2:]}"
 
 
-def places(word: str) -> tuple[int, int]:
-    return (xxhash.xxh3_64_intdigest(word.lower()) % WORDS, WORDS + xxhash.xxh3_64_intdigest(shape(word)) % SHAPES)
+def places(word: str) -> int:
+    """The places of the word and of its shape in one number."""
+    return xxhash.xxh3_64_intdigest(word.lower()) % WORDS * SHAPES + xxhash.xxh3_64_intdigest(shape(word)) % SHAPES
 
 
 class Terms:
     def __init__(self):
-        self.known: Recent[str, tuple[int, int]] = Recent(places)
+        self.known: Recent[str, int] = Recent(places, KEPT)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Places and counts of a text's terms."""
         found = text.split() if text else []
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        get, find = self.known.get, self.known.find
-        both = np.array([get(w) or find(w) for w in found])
-        n = np.bincount(both.ravel(), minlength=TERMS)
-        n[TERMS - 1] = sum(a == b for a, b in zip(found, found[1:]))
+        both = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        n = np.zeros(TERMS, np.int64)
+        n[:WORDS] = np.bincount(both // SHAPES, minlength=WORDS)
+        n[WORDS:TERMS - 1] = np.bincount(both % SHAPES, minlength=SHAPES)
+        n[TERMS - 1] = sum(map(operator.eq, found, found[1:]))
         at = np.flatnonzero(n)
         return at, n[at].astype(np.float32)
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest of each row; of equals those that come first."""
+    at = np.argpartition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k:]
+    least = np.take_along_axis(near, at, axis=1).min(axis=1, keepdims=True)
+    for row in np.flatnonzero((near >= least).sum(axis=1) > k):  # more equals than there is room for
+        at[row] = np.argsort(-near[row], kind="stable")[:k]
+    return at
+
+
 class Model(NamedTuple):
     weight: np.ndarray  # of each term
     axes: np.ndarray  # terms x DIMS
@@ -75,7 +87,7 @@ class Model(NamedTuple):
         """Scores of vectors."""
         near = x @ self.vectors.T
         k = min(VOTES, near.shape[1])
-        at = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        at = nearest(near, k)
         s = np.maximum(np.take_along_axis(near, at, axis=1), 0)
         total = s.sum(axis=1)
         mean = float(self.labels.mean())
