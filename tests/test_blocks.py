@@ -120,3 +120,17 @@ def test_landed_blocks_give_the_same_and_are_read_once(spark, small_blocks):
     plan = landed._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"FileScan parquet [^\n]*blocks_rows", plan)) == 1
     assert "hashpartitioning(turbine" not in plan and "SortAggregate" not in plan
+
+
+def test_long_gaps_are_cut_at_block_borders(spark, small_blocks):
+    rows = [("A", s) for s in (3, 4, 20, 21, 100)] + [("B", 6), ("B", 7), ("B", 8), ("C", 50)]
+    got = ts.time_spine(spark.createDataFrame(rows, "turbine string, slot bigint")).collect()
+    want = [(t, s, int((t, s) in rows)) for t, a, b in (("A", 3, 100), ("B", 6, 8), ("C", 50, 50)) for s in range(a, b + 1)]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_a_record_of_2099(spark):
+    rows = [("A", 24 * 6 * 9000 + i) for i in range(12)] + [("A", 24 * 6 * 47450)]
+    df = ts.time_spine(spark.createDataFrame(rows, "turbine string, slot bigint"))
+    n = df.groupBy().agg({"present": "sum", "slot": "count"}).first()
+    assert n["sum(present)"] == 13 and n["count(slot)"] == 24 * 6 * (47450 - 9000) + 1

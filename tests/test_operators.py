@@ -43,6 +43,8 @@ def test_layout_direction_symmetry_spacing_turbulence(spark):
     assert layout_loss(spark, pair, [180.0], replace(P, wake_ti=0.05))[1] > layout_loss(
         spark, pair, [180.0], replace(P, wake_ti=0.20))[1]
     assert layout_loss(spark, [("A", 0.0, 0.0), ("B", 0.0, 3 * D)], [180.0], P)[1] > south
+    gentle = replace(P, ct_curve=((3.0, 0.4), (25.0, 0.1)))
+    assert 0 < layout_loss(spark, pair, [180.0], gentle)[1] < south
 
 
 def test_layout_grid(spark):

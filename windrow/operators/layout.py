@@ -61,14 +61,14 @@ def directional_terms(layout: DataFrame, directions: DataFrame, p: FarmParams) -
                         F.when(near, spread8).alias("spread8"), F.when(near, seen).alias("seen"))
 
 
-def turbine_deficits(terms: DataFrame, rose: DataFrame, p: FarmParams, ct_curve=THRUST) -> DataFrame:
+def turbine_deficits(terms: DataFrame, rose: DataFrame, p: FarmParams) -> DataFrame:
     """Effective deficit at each turbine for each rose bin: root of the sum of squared deficits.
 
     `terms` are the landed directional terms; the speeds of a direction meet them by an equi-join.
     """
     bins = rose.filter((F.col("freq") > 0) & (F.col("ws_bin") >= p.cut_in_mps)
                        & (F.col("ws_bin") < p.cut_out_mps)).select(
-        "dir_deg", "ws_bin", "freq", thrust(F.col("ws_bin"), ct_curve).alias("ct"))
+        "dir_deg", "ws_bin", "freq", thrust(F.col("ws_bin"), p.ct_curve or THRUST).alias("ct"))
     inner = 1.0 - F.col("ct") / F.col("spread8")
     centre = F.when(inner <= 0, 1.0).otherwise(1.0 - F.sqrt(F.greatest(inner, F.lit(0.0))))
     return (terms.join(bins, "dir_deg").groupBy("dir_deg", "ws_bin", "freq", "turbine", "x", "y")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from windrow.functions.num import angle
 from windrow.functions.rows import land
+from windrow.functions import timegrid
 from windrow.functions.timegrid import slot_of
 from windrow.operators.blocks import OF_BLOCK, Blocks, add_block, block_context, brackets, next_slot_in_series
 from windrow.schema import PHYSICALS
@@ -106,10 +107,21 @@ def sampling_interval(rows: DataFrame) -> DataFrame:
     return med.agg(F.coalesce(F.max("step") / 6.0, F.lit(1.0 / 6.0)).alias("interval_h"))
 
 
-def missing_slots() -> Column:
-    """Slots between a record and the next one of the turbine, as an array (NULL if none)."""
-    nxt = F.col("_next")
-    return F.when(nxt > F.col("slot") + 1, F.sequence(F.col("slot") + 1, nxt - 1))
+def with_missing(placed: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Adds a row (`is_new`) for every slot between a record and `_next`, where `wanted` holds.
+
+    A gap is cut at the borders of blocks before its slots are made, so no row ever holds more than a block of them,
+    however long the gap.
+    """
+    size = timegrid.SLOTS_PER_BLOCK
+    first, last = F.col("slot") + 1, F.col("_next") - 1
+    gap = first <= last if wanted is None else (first <= last) & wanted
+    own = F.array(F.struct(F.col("slot").alias("a"), F.col("slot").alias("b"), F.lit(False).alias("new")))
+    cut = F.transform(F.sequence(F.floor(first / size), F.floor(last / size)), lambda k: F.struct(
+        F.greatest(first, k * size).alias("a"), F.least(last, (k + 1) * size - 1).alias("b"), F.lit(True).alias("new")))
+    pieces = placed.withColumn("_piece", F.explode(F.when(gap, F.concat(own, cut)).otherwise(own)))
+    return (pieces.withColumn("slot", F.explode(F.sequence("_piece.a", "_piece.b")))
+            .withColumn("is_new", F.col("_piece.new")).drop("_piece", "_next"))
 
 
 def time_spine(rows: DataFrame) -> DataFrame:
@@ -118,10 +130,7 @@ def time_spine(rows: DataFrame) -> DataFrame:
     ctx = block_context(blocked).select("turbine", "block", "next_slot")
     steps = (blocked.join(ctx, ["turbine", "block"], "left")
              .withColumn("_next", next_slot_in_series()))
-    return steps.select(
-        "turbine", F.explode(F.concat(F.array("slot"), F.coalesce(
-            missing_slots(), F.array().cast("array<bigint>")))).alias("s"), "slot").select(
-        "turbine", F.col("s").alias("slot"), (F.col("s") == F.col("slot")).cast("int").alias("present"))
+    return with_missing(steps).select("turbine", "slot", (~F.col("is_new")).cast("int").alias("present"))
 
 
 def _linear(c: str, limit: int, transform=None) -> Column:
@@ -149,12 +158,7 @@ def open_gaps(rows: DataFrame) -> DataFrame:
     spine table is built and nothing is joined.
     """
     placed = brackets(rows, FILLED).withColumn("_next", next_slot_in_series())
-    gap = F.when(F.col("n_turbine") >= MIN_ROWS_TO_FILL, missing_slots())
-    own = F.array(F.lit(None).cast("bigint"))
-    return (placed.withColumn("_m", F.explode_outer(F.when(gap.isNotNull(), F.concat(own, gap))))
-            .withColumn("is_new", F.col("_m").isNotNull())
-            .withColumn("slot", F.coalesce("_m", "slot"))
-            .drop("_m", "_next", "next_slot"))
+    return with_missing(placed, F.col("n_turbine") >= MIN_ROWS_TO_FILL).drop("next_slot")
 
 
 def fill_gaps(rows: DataFrame, limit: int) -> DataFrame:
@@ -237,14 +241,8 @@ def gap_fill_tiered(rows: DataFrame, grid: DataFrame, short: int = 6, medium: in
     ctx = block_context(blocked, carry=("ws",))
     placed = brackets(blocked.join(ctx.drop(*OF_BLOCK), ["turbine", "block"], "left"), ("ws",))
     placed = placed.withColumn("_next", next_slot_in_series())
-    gap = missing_slots()
-    own = F.array(F.lit(None).cast("bigint"))
-    df = (placed.withColumn("_m", F.explode_outer(F.when(gap.isNotNull(), F.concat(own, gap))))
-          .select("turbine",
-                  F.coalesce("_m", "slot").alias("slot"),
-                  F.when(F.col("_m").isNull(), F.col("ws")).alias("ws0"),
-                  F.when(F.col("_m").isNull(), F.col("power_kw")).alias("p0"),
-                  "a_ws", "b_ws"))
+    df = with_missing(placed).select("turbine", "slot", F.when(~F.col("is_new"), F.col("ws")).alias("ws0"),
+                                     F.when(~F.col("is_new"), F.col("power_kw")).alias("p0"), "a_ws", "b_ws")
     length = F.col("b_ws")["slot"] - F.col("a_ws")["slot"] - 1
     df = df.withColumn("gap_len", F.when(F.col("ws0").isNull(), length))
     farm = rows.groupBy("slot").agg(F.avg("ws").alias("farm_ws"))

@@ -51,6 +51,7 @@ class FarmParams:
     wake_ti: float = 0.10
     wake_model: str = "layout"            # layout | scada
     wake_bearing: str = "from"            # from | toward: what a direction of 180 means
+    ct_curve: tuple[tuple[float, float], ...] = ()   # (m/s, thrust coefficient) in order; empty: the default curve
     # losses, long term
     electrical_loss_pct: float = 2.0
     other_loss_pct: float = 0.5
