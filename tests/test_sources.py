@@ -195,6 +195,15 @@ def test_auxiliary_tables(spark, tmp_path):
     assert len(got) == 1 and got[0]["ws"] == 7.0 and got[0]["dir"] == 10.0
 
 
+def test_auxiliary_tables_with_decimal_commas(spark, tmp_path):
+    c = write(tmp_path, "curve.csv", ["wind_speed_mps", "power_kw"], [["0,5", "1,25"], ["5", "300"]], ";")
+    assert sorted(map(tuple, read_warranted_curve(spark, c).collect())) == [(0.5, 1.25), (5.0, 300.0)]
+    lay = write(tmp_path, "lay.csv", ["WTG", "Easting", "Northing"], [["A", "0,5", "1.5"]], "\t")
+    assert [(r.x, r.y) for r in read_layout(spark, lay).collect()] == [(0.5, 1.5)]
+    r = write(tmp_path, "ref.csv", ["date", "ws_mps"], [["2020-01-01", "7,5"]], ";")
+    assert read_reference_daily(spark, r).first()["ws"] == 7.5
+
+
 def test_regular_data_resample_to_themselves(spark, tmp_path):
     header, row, sep, _ = LAYOUTS["sgre"]
     data = base()
