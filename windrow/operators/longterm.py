@@ -101,7 +101,7 @@ def lt_rolling(series: DataFrame, days: int = 30) -> DataFrame:
     keyed = series.select(F.lit("lt").alias("turbine"),
                           F.unix_date("d").cast("bigint").alias("slot"), "ws")
     keyed = keyed.withColumn("block", F.expr("slot div 128"))
-    ctx = block_context(keyed, history=days - 1).select("turbine", "block", "prev")
+    ctx = block_context(keyed, history=days - 1).select("turbine", "block", "first_slot", "prev")
     rows = with_history(keyed, ctx)
     w = W.partitionBy("turbine", "block").orderBy("slot")
     trailing = w.rowsBetween(-(days - 1), 0)
