@@ -1,6 +1,7 @@
 """Operators on text against libraries and brute force, with nulls, empty and long texts, repeated rows and clashes."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from windrow.llm import bpe, fingerprint, mixing, near_join, quality, substring, token_count, topk, toxicity, url_filter
+from windrow.llm.training import with_labels
 
 RND = random.Random(5)
 VOCABULARY = ["".join(RND.choice("abcdefghijklmnop") for _ in range(RND.randint(3, 8))) for _ in range(3000)]
@@ -244,7 +246,6 @@ def labelled(spark):
 
 
 def test_classifiers_on_held_out_rows(spark):
-    import zlib
     docs, labels = labelled(spark)
     for module, good in ((toxicity, lambda i: i % 3 == 0), (quality, lambda i: i % 3 != 1)):
         got = {r.doc_id: r.score for r in module.score(docs, module.fit(docs, labels)).collect()}
@@ -260,14 +261,72 @@ def test_toxicity_knows_words_by_themselves(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
     kinds = "doc_id long, text string"
     model = toxicity.fit(spark.createDataFrame(rows, kinds), labels)
-    # two million words that are in one document each: more than the table of hashes once had places
+    # two million words that are in one document each: they are counted, but the model doesn't grow
     many = spark.range(1000, 3000).select(F.col("id").alias("doc_id"), F.expr(
         "concat_ws(' ', transform(sequence(1, 1000), x -> concat('q', id, '-', x)))").alias("text"))
     more = toxicity.fit(spark.createDataFrame(rows, kinds).union(many), labels)
-    assert np.array_equal(model.words, more.words) and np.array_equal(model.counts, more.counts)
-    assert set(model.words) == {toxicity.word_id(w) for w in ("common", "words", "vile", "kind", "here")}
-    vile, kind, new = more.of(["vile", "kind", "unheard"])
-    assert vile > 1 and kind < -1 and new == 0
+    for one, other in zip((model.pairs, model.contexts, model.words), (more.pairs, more.contexts, more.words)):
+        assert np.array_equal(one[0], other[0])
+    for m in (model, more):
+        assert m.score("common words vile here") > 0.9 and m.score("common words kind here") < 0.1
+        assert m.score("") == m.score(None)
+
+
+def test_toxicity_of_an_expression_of_ordinary_words(spark):
+    """Words as common in both classes; only their order tells."""
+    rows, labels = [], []
+    for i in range(800):
+        w, toxic = prose(60, 5000 + i), i % 4 == 0
+        w[10:12] = ["green", "lamp"] if toxic else ["lamp", "green"]
+        w[40:42] = ["green", "lamp"] if toxic else ["lamp", "green"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    out = [i for i in range(800) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in out]) > 0.95
+
+
+def test_toxicity_against_plain_counts(spark):
+    """Counts, discounts and both backoffs of the pairs once more, one text after the other."""
+    rows = [(i, " ".join(prose(30, 7000 + i)) + (" vile kind" if i % 3 == 0 else " kind vile")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    known = with_labels(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"), "toxic")
+    counted = known.where("y is not null").where(F.pmod(F.xxhash64("hash"), F.lit(toxicity.ASIDE)) != 0).collect()
+    n = [Counter(), Counter()]
+    for r in counted:
+        w = toxicity.tokens(r.text)
+        n[1 - r.y].update(set(zip([None, *w], w)))
+    every = Counter(w for _, t in rows for w in set(toxicity.tokens(t)))
+    total, types = [sum(c.values()) for c in n], [len(c) for c in n]
+    off, off_word = [4 * t / min(total) for t in total], [4 * t / min(types) for t in types]
+    met, after, left = [Counter(w for _, w in c) for c in n], [Counter(), Counter()], [Counter(), Counter()]
+    for c in (0, 1):
+        for (u, _), x in n[c].items():
+            after[c][u] += x
+            left[c][u] += min(x, off[c])
+    freed = [types[c] - sum(max(x - off_word[c], 0) for x in met[c].values()) for c in (0, 1)]
+    both, pooled = n[0] + n[1], met[0] + met[1]
+    spare, loose = Counter(), sum(min(x, 0.75) for x in pooled.values())
+    for (u, _), x in both.items():
+        spare[u] += min(x, 0.75)
+    mass = sum(every.values()) + len(every) + 1
+
+    def log_p(c, u, w):
+        q = (every[w] + 1) / mass
+        alone = (max(met[c][w] - off_word[c], 0) + freed[c] * q) / types[c]
+        base = (max(pooled[w] - 0.75, 0) + loose * q) / sum(types)
+        pair = (max(both[u, w] - 0.75, 0) + spare[u] * base) / (after[0][u] + after[1][u])
+        if not after[c][u]:
+            return np.log(pair * alone / base)
+        return np.log(max(n[c][u, w] - off[c], 0) / after[c][u] + left[c][u] / after[c][u] * pair * alone / base)
+
+    for (u, w) in both:
+        h = [np.array([toxicity.word_id(x) if x is not None else 0], np.uint64) for x in (u, w)]
+        key = toxicity.pair_hash(*h)
+        assert np.isclose(model.differences(key, *h)[0], log_p(0, u, w) - log_p(1, u, w))
 
 
 def test_mixture_meets_targets(spark):
