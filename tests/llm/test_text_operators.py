@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from windrow.llm import bpe, fingerprint, mixing, near_join, quality, substring, token_count, topk, toxicity, url_filter
+from windrow.llm.common import Landing
 from windrow.llm.training import with_labels
 
 RND = random.Random(5)
@@ -353,7 +354,7 @@ def test_mixture_of_weakly_separated_domains(spark):
     held = spark.createDataFrame([(1, *map(float, x)) for x in np.column_stack([n, p])],
                                  "rows int, tokens double, high double, low double, toxic double")
     targets = dict(zip(mixing.DOMAINS, goal.tolist()))
-    x = held.select("tokens", *mixing.DOMAINS, mixing.fitted(held, targets).alias("rate")).toPandas()
+    x = mixing.fitted(held, targets, Landing(spark, "weak")).toPandas()
     n, p, x = x.tokens.to_numpy(), x[list(mixing.DOMAINS)].to_numpy(), x.rate.to_numpy()
     # no slope is left: by the definition of the least
     miss = ((n * x) @ p / n.sum() - goal) / (n @ p / n.sum())

@@ -5,9 +5,10 @@
   the text's words, weighed as EVIDENCE words, so that membership stays soft.
 * Rates: every document gets a rate, the number of times it is expected in the mixture. They minimise the squared
   relative misses of the domains' expected token totals plus PULL times the squared distance from a rate of one, weighed
-  by tokens. Each Newton step, on the dual problem of one number for each domain, sums over all documents; only the sums
-  of the domains and their pairs come to the driver. Steps end when the rates are those of the least; how far the
-  domains then are from their targets is logged.
+  by tokens. Projected gradient: a step takes every rate down the slope and sets negative ones to zero; steps are
+  accelerated, and start anew where they go uphill. Each sums over all documents; only the domains' sums come to the
+  driver, and the rates are landed now and then. Steps end when no rate moves by CLOSE; how far the domains then are
+  from their targets is logged.
 * Copies: a rate's whole part, and one more with the probability of the rest, decided by a hash of the id and text.
 
 The classifier learns from about LEARNT labelled rows; scoring and sums cover all documents and whole texts. Words are
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import logging
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from windrow.llm.common import Landing, held_out
@@ -34,8 +34,9 @@ LEARNT = 20_000
 EVIDENCE = 40.0
 SMOOTH = 2000.0  # terms of the common distribution added to each domain
 PULL = 1e-3
-STEPS = 200  # never needed; a warning tells when they don't suffice
-CLOSE = 1e-6
+STEPS = 2000  # never needed; a warning tells when they don't suffice
+CLOSE = 1e-5
+LANDED = 8  # steps after which the rates are landed
 FEW = 1 << 20  # labels that are broadcast at most; beyond, they are joined by a shuffle
 
 
@@ -91,54 +92,45 @@ def posteriors(docs: DataFrame, labels: DataFrame, landing: Landing) -> DataFram
                                                     *[(F.col(d) / F.col("total")).alias(d) for d in DOMAINS])
 
 
-def fitted(held: DataFrame, targets: dict[str, float]) -> Column:
-    """The rate of each row of `held` (rows, tokens, posteriors) as an expression over its columns.
-
-    At the least of the objective a rate is max(0, 1 - posteriors * m / PULL), where m are the domains' relative misses.
-    The misses are sought where the dual objective, which is convex, has no slope.
-    """
-    goal = np.array([targets[d] for d in DOMAINS]) / sum(targets[d] for d in DOMAINS)
+def fitted(held: DataFrame, targets: dict[str, float], landing: Landing) -> DataFrame:
+    """`held` (rows, tokens, posteriors, and others) with the column rate."""
+    goal = [targets[d] / sum(targets[x] for x in DOMAINS) for d in DOMAINS]
     mass = F.col("rows") * F.col("tokens")
-    base = held.agg(*[F.sum(mass * F.col(d)).alias(d) for d in DOMAINS], F.sum(mass).alias("total")).first()
-    total = float(base["total"] or 1.0)
-    share = np.array([max(float(base[d] or 0.0) / total, 1e-6) for d in DOMAINS])
-    n = len(DOMAINS)
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-
-    def rate(m: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(d) * F.lit(float(x / PULL)) for d, x in zip(DOMAINS, m)), F.lit(0.0)))
-
-    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The dual objective, the domains' shares, and the objective's curvature."""
-        x = rate(m)
-        some = mass * F.when(x > 0, 1.0).otherwise(0.0)
-        found = held.agg(F.sum(mass * x * x), *[F.sum(mass * x * F.col(d)) for d in DOMAINS],
-                         *[F.sum(some * F.col(DOMAINS[i]) * F.col(DOMAINS[j])) for i, j in pairs]).first()
-        found = np.array([float(v or 0.0) for v in found]) / total
-        bend = np.diag(share)
-        for (i, j), v in zip(pairs, found[1 + n:]):
-            bend[i, j] += v / PULL
-            if i != j:
-                bend[j, i] += v / PULL
-        return PULL / 2 * found[0] + goal @ m + share @ (m * m) / 2, found[1:1 + n], bend
-
-    m = np.zeros(n)
-    value, shares, bend = at(m)
-    for _ in range(STEPS):
-        slope = goal + share * m - shares
-        if np.abs(slope / share).max() < CLOSE:
+    base = held.agg(*[F.sum(mass * F.col(d)) for d in DOMAINS], F.sum(mass)).first()
+    total = float(base[-1] or 1.0)
+    share = [max(float(v or 0.0) / total, 1e-6) for v in base[:-1]]
+
+    def shares(name: str) -> list[Column]:
+        return [F.sum(mass * F.col(name) * F.col(d)) for d in DOMAINS]
+
+    # "_ahead" is where the next slope is taken: the rate, and on in the direction of its last step, which began at "_from"
+    at = held.withColumns({"_rate": F.lit(1.0), "_ahead": F.lit(1.0), "_from": F.lit(2.0), "_last": F.lit(1.0)})
+    speed = 1.0
+    for step in range(STEPS):
+        if step and step % LANDED == 0:
+            at = landing.land(at, f"rates-{step}")
+            landing.drop(f"rates-{step - LANDED}")
+        found = at.agg(F.max(F.when(mass > 0, F.abs(F.col("_rate") - F.col("_from")))),
+                       F.sum(mass * (F.col("_from") - F.col("_rate")) * (F.col("_rate") - F.col("_last"))),
+                       *shares("_rate"), *shares("_ahead")).first()
+        sums = [float(v or 0.0) / total for v in found[2:]]
+        if (found[0] or 0.0) < CLOSE:
             break
-        move, length = -np.linalg.solve(bend, slope), 1.0
-        while True:
-            new = at(m + length * move)
-            if new[0] <= value + 1e-4 * length * (slope @ move) + 1e-15 or length < 1e-6:
-                break
-            length /= 2
-        m, (value, shares, bend) = m + length * move, new
+        start, there = "_ahead", sums[len(DOMAINS):]
+        if (found[1] or 0.0) > 0:  # the last step went uphill: without its speed
+            start, there, speed = "_rate", sums[:len(DOMAINS)], 1.0
+        faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
+        onward, speed = (speed - 1) / faster, faster
+        slope = sum((F.col(d) * F.lit((v - g) / s) for d, v, g, s in zip(DOMAINS, there, goal, share)),
+                    F.lit(PULL) * (F.col(start) - 1))
+        at = at.withColumn("_next", F.greatest(F.lit(0.0), F.col(start) - slope / (1 + PULL))).select(
+            *held.columns, F.col("_next").alias("_rate"),
+            (F.col("_next") + F.lit(onward) * (F.col("_next") - F.col("_rate"))).alias("_ahead"),
+            F.col(start).alias("_from"), F.col("_rate").alias("_last"))
     else:
         log.warning("rates aren't settled after %d steps", STEPS)
-    log.info("shares of %s less their targets: %s", DOMAINS, (shares - goal).tolist())
-    return rate(m)
+    log.info("%d steps; shares of %s less their targets: %s", step, DOMAINS, [v - g for v, g in zip(sums, goal)])
+    return at.select(*held.columns, F.col("_rate").alias("rate"))
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -147,7 +139,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     held = landing.land(posteriors(docs.select("doc_id", "text"), labels, landing), "posteriors")
     rate = F.col("rate")
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", "h", F.lit("copies")), 11) * F.lit(2.0 ** -53)
-    return held.withColumn("rate", fitted(held, targets)).withColumn(
+    return landing.land(fitted(held, targets, landing), "rates").withColumn(
         "copies", (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int"))
 
 
