@@ -158,6 +158,53 @@ def test_near_classes_equal_brute_force(spark, odd, none, k, num):
     assert near_join.near_classes(none).count() == 0
 
 
+@pytest.mark.parametrize("num", [20, 34, 50, 51])
+def test_low_thresholds_equal_brute_force(spark, num):
+    r = random.Random(num)
+    texts = {0: "a", 1: "a b", 2: "", 3: None} | {4 + i: " ".join(r.sample(VOCABULARY[:60], r.choice([1, 1, 2, 3, 4, 9])))
+                                                for i in range(45 if num > 34 else 22)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc: (x.n_shingles, x.component) for x in near_join.near_classes(df, 1, num, 100).collect()}
+    assert got == brute_classes(texts, 1, num, 100)
+
+
+def test_equal_words_in_order():
+    def table(x, y):
+        row = [0] * (len(y) + 1)
+        for w in x:
+            before = 0
+            for j, v in enumerate(y, 1):
+                kept, row[j] = row[j], before + 1 if w == v else max(row[j], row[j - 1])
+                before = kept
+        return row[-1]
+
+    r = random.Random(3)
+    for _ in range(300):
+        x, y = ([r.choice("abcdef") for _ in range(r.randint(0, 90))] for _ in "xy")
+        assert substring.equal_in_order(x, y) == table(x, y)
+    same = prose(101, 41)
+    assert substring.equal_in_order(["p", *same, "q"], ["r", "s", *same, "t", "u"]) == 101
+    long = prose(3000, 42)
+    assert substring.equal_in_order(["p", *long], [*long[:1000], "q", "r", *long[1000:], "s"]) == 3000
+
+
+def test_passage_goes_on_far_beyond_its_matches(spark):
+    texts = []
+    for g, tail in enumerate((0, 20, 45, 150, 400)):
+        shared = prose(2 * tail + 60, 500 + g)
+        cut = tail + 60
+        # no three words of the tail or head are equal in a row
+        changed = [f"z{i}" if (i - cut) % 3 == 0 and (i >= cut) else w for i, w in enumerate(shared)]
+        texts += [prose(20, 600 + g) + shared + prose(20, 610 + g), prose(30, 620 + g) + changed + prose(30, 630 + g)]
+        texts += [x[::-1] for x in texts[-2:]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc: r for r in substring.passages(df).collect() if r.ref == r.doc - 1 and r.doc % 2}
+    for i, tail in enumerate((0, 20, 45, 150, 400)):
+        there, back, n = got[4 * i + 1], got[4 * i + 3], 2 * tail + 60
+        assert abs(there.start - 30) < 3 and abs(there.stop - 30 - n) < 4 and abs(there.ref_stop - 20 - n) < 4
+        assert abs(back.start - 30) < 4 and abs(back.stop - 30 - n) < 3
+
+
 def test_passages(spark, odd, none):
     shared = prose(60, 5)
     fuzzy = list(shared)

@@ -6,7 +6,8 @@ one more than these.
 
 * Light: a small set is joined by all subsets of two shingles of that longer beginning.
 * Heavy: a large set is joined by scanning the inverted lists of the single shingles of its beginning. Small sets that
-  a large one can link with stand in these lists too.
+  a large one can link with stand in these lists too, and so do sets that may link by one shared shingle alone, which
+  there are at thresholds of one half and less.
 * A subset costs one row and a scan costs the length of its list, so the boundary is where (p + 1) * p / 2 subsets cost
   more than p scans of lists of the mean length, which is counted over all sets.
 
@@ -123,20 +124,22 @@ def profiles(rows: DataFrame, rule: Rule, often: np.ndarray) -> DataFrame:
 
 def keys(sets: DataFrame, rule: Rule, longest: int) -> DataFrame:
     """key, doc, single: subsets of two for sets with a beginning of up to `longest`, single shingles for larger ones."""
-    p, n = F.size("first") - 1, F.col("n")
+    p, n = F.size(beginning(rule)), F.col("n")
+    by_one = (n * rule.num <= rule.den) & F.lit(rule.den >= 2 * rule.num)
     smallest = -(-longest * rule.den // (rule.den - rule.num))  # size of the smallest large set
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("first") - 1), lambda i: F.transform(
         F.sequence(i + 1, F.size("first")), lambda j: F.xxhash64(
             F.element_at("first", i), F.element_at("first", j)))))
     light = sets.where((p <= longest) & (F.size("first") >= 2)).select(
         F.explode(pairs).alias("key"), "doc", F.lit(False).alias("single"))
-    heavy = sets.where((p > longest) | (n >= rule.least(smallest))).select(
-        F.explode(beginning()).alias("key"), "doc", F.lit(True).alias("single"))
+    heavy = sets.where((p > longest) | (n >= rule.least(smallest)) | by_one).select(
+        F.explode(beginning(rule)).alias("key"), "doc", F.lit(True).alias("single"))
     return light.unionByName(heavy)
 
 
-def beginning() -> Column:
-    return F.slice("first", 1, F.greatest(F.size("first") - 1, F.lit(1)))
+def beginning(rule: Rule) -> Column:
+    """Of `first` all but its last; all of it where one shared shingle can be enough."""
+    return F.slice("first", 1, F.when(F.col("n") * rule.num <= rule.den, F.size("first")).otherwise(F.size("first") - 1))
 
 
 def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -264,7 +267,7 @@ def near_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 10
     sets = prof.join(reps, (prof["sig"] == reps["sig"]) & (prof["doc"] == reps["rep"]), "left_semi")
     sets = landing.land(sets.select("doc", "n", "sig", "first"), "sets")
 
-    total, kinds = sets.select(F.explode(beginning()).alias("t")).agg(F.count("*"), F.approx_count_distinct("t")).first()
+    total, kinds = sets.select(F.explode(beginning(rule)).alias("t")).agg(F.count("*"), F.approx_count_distinct("t")).first()
     longest = max(1, int(1 + 2 * total / max(1, kinds)))
     of_key = Window.partitionBy("key", "single")
     met = (keys(sets, rule, longest).withColumns({"members": F.count("*").over(of_key), "leader": F.min("doc").over(of_key)})
@@ -273,10 +276,10 @@ def near_classes(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 10
     lists = landing.land(met.select("leader", "doc").where("leader <> doc").distinct(), "lists")
     # of a beginning only shingles that several sets have can be shared; small sets keep theirs, as not all are listed
     listed = met.where("single").groupBy("doc").agg(F.collect_set("key").alias("listed"))
-    small = F.size("first") - 1 <= longest
+    small = F.size(beginning(rule)) <= longest
     own = sets.join(met.select("doc").distinct(), "doc", "left_semi").join(listed, "doc", "left").select(
-        "doc", "n", F.size(beginning()).alias("p"), small.alias("small"),
-        F.when(small, beginning()).otherwise(
+        "doc", "n", F.size(beginning(rule)).alias("p"), small.alias("small"),
+        F.when(small, beginning(rule)).otherwise(
             F.coalesce("listed", F.array().cast("array<bigint>"))).alias("first"))
     own = landing.land(own, "own")
     lead = own.select(F.col("doc").alias("leader"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("first").alias("start"))
