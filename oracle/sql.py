@@ -107,7 +107,7 @@ def pw(g: str, ws: str) -> str:
     return f"({g}.p0 + ({g}.p1-{g}.p0)*least(greatest({ws}*10.0 - {g}.cell, 0), 1))"
 
 
-def flag_steps(tag: str, res: str, coded: bool) -> None:
+def flag_steps(tag: str, res: str, coded: bool, curtailed: str = "false") -> None:
     """The rules one after the other: f0 (single records), f1 low power, f2 curtailment, f3 climate."""
     status = ("WHEN status IN (1,100) THEN 0 WHEN status = 600 THEN 5 WHEN status = 500 THEN 3"
               " WHEN status IS NOT NULL THEN 2" if coded else "")
@@ -123,8 +123,9 @@ FROM (SELECT t.*, {pw('g', 't.ws')} AS xraw, 99200.0/(287.05*(t.temp_c+273.15))/
                   ELSE 'Operating' END AS why_a
       FROM {res} t LEFT JOIN gridc g ON g.cell = {cell('t.ws')})"""
     CTE[f"f1{tag}"] = f"""
-SELECT *, CASE WHEN lowrun = 6 THEN 2 ELSE flag0 END AS flag1,
-       CASE WHEN lowrun = 6 THEN 'Downtime (low power at usable wind)' ELSE why0 END AS why1,
+SELECT *, CASE WHEN lowrun = 6 THEN 2 WHEN flag0 = 0 AND {curtailed} THEN 3 ELSE flag0 END AS flag1,
+       CASE WHEN lowrun = 6 THEN 'Downtime (low power at usable wind)'
+            WHEN flag0 = 0 AND {curtailed} THEN 'Curtailment (SCADA flag)' ELSE why0 END AS why1,
        power_kw / greatest(xraw, 1.0) AS ratio
 FROM (SELECT *, sum(CASE WHEN flag0 = 0 AND ws > 4.0 AND power_kw < 12.5 THEN 1 ELSE 0 END)
                 OVER (PARTITION BY turbine ORDER BY slot ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS lowrun
@@ -161,6 +162,7 @@ FROM (SELECT *, CASE WHEN frozen THEN 7 ELSE flag3 END AS flag,
 flag_steps("", "res", True)
 flag_steps("_n", "res_nostatus", False)
 flag_steps("_z", "res_frozen", True)
+flag_steps("_c", "res_nostatus", False, "(slot // 144 - 9496) % 4 = 1 AND slot % 144 // 6 BETWEEN 8 AND 15")
 
 # ---- gap filling -----------------------------------------------------------------------------
 
@@ -220,6 +222,11 @@ FROM raw GROUP BY turbine, status""")
 q("scan_column_map", f"""
 SELECT turbine, count(*) AS n, {r('sum(power_kw)', 'power')}, {r('max(ws)', 'ws')}, CAST(0 AS BIGINT) AS n_dir,
        CAST(sum(status) AS BIGINT) AS status_sum FROM raw GROUP BY turbine""")
+ORACLE["scan_export_files"] = ORACLE["scan_scada"]
+q("split_months", f"""
+SELECT strftime(ts, '%Y-%m') AS month, count(*) AS "rows", count(*) AS rows_by_number, {r('sum(power_kw)', 'power', 3)},
+       {r('sum(ws)', 'ws', 3)}, CAST(sum(status) AS BIGINT) AS status_sum, strftime(min(ts), {STAMP}) AS first_ts,
+       strftime(max(ts), {STAMP}) AS last_ts FROM raw GROUP BY 1""")
 CTE["filed"] = """
 SELECT *, CAST(date_diff('day', DATE '1996-01-01', CAST(ts AS DATE)) // 7 + hour(ts) % 2 AS INTEGER) AS ordinal
 FROM raw"""
@@ -362,6 +369,7 @@ CTE["sited"] = """
 SELECT CAST(l_shipdate AS DATE) AS d, 3.0+avg(l_quantity)/6.0137::DOUBLE AS ws, sum(l_quantity)/10.0::DOUBLE AS e_mwh
 FROM lineitem GROUP BY CAST(l_shipdate AS DATE)"""
 D = "strftime(d, '%Y-%m-%d') AS d"
+q("reference_export", f"SELECT {D}, {r('ws', 'ws', 6)} FROM refd")
 q("wind_shear", f"SELECT {D}, {r('ws*pow(2.0, 0.2)', 'ws_hub', 6)} FROM refd")
 q("daily_mean", f"SELECT strftime(ts, '%Y-%m-%d') AS d, {r('avg(value)', 'value')} FROM events GROUP BY 1")
 q("air_density", f"""
@@ -413,6 +421,9 @@ SELECT turbine, {TS}, CAST(flag AS BIGINT) AS flag FROM f4_n WHERE why = 'Downti
 q("qc_curtail_derate", f"""
 SELECT turbine, {TS}, CAST(flag AS BIGINT) AS flag, why AS flag_reason FROM f4_n
 WHERE why IN ('Curtailment (low output at usable wind)', 'Derated / partial load')""")
+q("qc_curtail_flag", f"""
+SELECT turbine, {TS}, CAST(flag AS BIGINT) AS flag, why AS flag_reason FROM f4_c
+WHERE why IN ('Curtailment (SCADA flag)', 'Curtailment (low output at usable wind)', 'Derated / partial load')""")
 q("qc_environment", f"""
 SELECT turbine, {TS}, why AS flag_reason FROM f4_n
 WHERE why IN ('Environmental (high temperature)', 'Environmental (icing)')""")
@@ -480,6 +491,7 @@ FROM filled GROUP BY turbine"""
 LOSSES = "downtime_loss_mwh curtailment_loss_mwh derating_loss_mwh environmental_loss_mwh"
 q("availability_turbine", f"""
 SELECT turbine, {rs('hours downtime_h curtailment_h energy_mwh ' + LOSSES + ' time_avail_pct prod_avail_pct')} FROM perturb""")
+ORACLE["tables_written"] = ORACLE["availability_turbine"]
 CTE["farmav"] = "SELECT avg(time_avail_pct) AS time_avail_pct, avg(prod_avail_pct) AS prod_avail_pct, " + ", ".join(
     f"sum({c}) AS {c}" for c in ("energy_mwh " + LOSSES).split()) + " FROM perturb"
 q("availability_farm", f"SELECT {rs('time_avail_pct prod_avail_pct energy_mwh ' + LOSSES)} FROM farmav")

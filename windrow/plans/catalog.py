@@ -16,6 +16,7 @@ from windrow.operators import (curve, energy, flags, layout as lay, longterm as
 from windrow.plans import testbed as tb
 from windrow.sources import auxiliary, files
 from windrow.sources.columns import plan_columns, plan_from_map
+from windrow.sources.readers import load_scada
 from windrow.sources.standardise import number, comma_decision, standardise, status_code
 
 P = tb.PARAMS
@@ -122,6 +123,54 @@ def months_rewritten(s, d):
     return out(held.join(runs, "month"))
 
 
+def _fresh(s, name):
+    return os.path.join(scratch_dir(s), f"{name}-{uuid.uuid4().hex}")
+
+
+def scan_export_files(s, d):
+    """Records written as compressed exports with semicolons, then read by their headers."""
+    path = _fresh(s, "exports")
+    _export(s, d, PCTimeSt="cast(timestamp as string)", AssetNam="turbine", Amb_Tems="cast(temp_c as string)",
+            Amb_Wind="cast(ws as string)", Grd_Prod_="cast(power_kw as string)", Nac_Direc="cast(dir_deg as string)",
+            Sys_Stats_="cast(status as string)").write.option("header", True).option("sep", ";").option(
+        "compression", "gzip").csv(path)
+    df, _ = load_scada(s, path)
+    return out(df.groupBy("turbine", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("power_kw").alias("power"), F.avg("ws").alias("ws"),
+        F.avg("temp_c").alias("temp"), F.avg("dir_deg").alias("dir"), F.min("timestamp").alias("first_ts")))
+
+
+def split_months(s, d):
+    """Records as exports by month, and in files of few rows; both read back."""
+    path = _fresh(s, "split")
+    df = tb.scada(s, d).select("timestamp", "turbine", "power_kw", "ws", "status")
+    kinds = "timestamp timestamp_ntz, turbine string, power_kw double, ws double, status int"
+    sinks.split_by_month(df, f"{path}/months")
+    sinks.split_by_rows(df, f"{path}/rows", 1000)
+    month = F.date_format("timestamp", "yyyy-MM")
+    by_rows = s.read.schema(kinds).option("header", True).csv(f"{path}/rows").groupBy(month.alias("month")).agg(
+        F.count(F.lit(1)).alias("rows_by_number"))
+    held = s.read.schema(f"{kinds}, month string").option("header", True).csv(f"{path}/months")
+    held = held.groupBy("month").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("power_kw").alias("power"), F.sum("ws").alias("ws"),
+        F.sum("status").alias("status_sum"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
+    return out(held.join(by_rows, "month"), 3)
+
+
+def tables_written(s, d):
+    """Result tables written, and one of them read back."""
+    run, path = a(s, d), _fresh(s, "tables")
+    sinks.write_tables({"availability": run.per_turbine, "fits": run.fits}, path)
+    return out(s.read.schema(run.per_turbine.schema).parquet(f"{path}/availability"))
+
+
+def reference_export(s, d):
+    """A reference series written and read by its header."""
+    path = _fresh(s, "reference")
+    sinks.write_reference(tb.reference_daily(s, d), path)
+    return out(auxiliary.read_reference_daily(s, path), 6)
+
+
 def input_extent(s, d):
     return out(files.input_extent(tb.scada(s, d)))
 
@@ -355,6 +404,15 @@ def qc_curtail_derate(s, d):
     return out(df.select("turbine", "slot", "flag", "flag_reason"))
 
 
+def qc_curtail_flag(s, d):
+    """Records without status codes that carry a curtailment flag on every fourth day."""
+    marked = F.expr("cast(datediff(to_date(timestamp), date'1996-01-01') % 4 = 1 and hour(timestamp) between 8 and 15 as int)")
+    df = tb.landed(s, ("curtailed", d), lambda: flags.flag_records(flags.flag_blocks(ts.resample_10min(
+        tb.scada_nostatus(s, d).withColumn("curt_flag", marked)), P, "curtailed"), tb.grid(s), P))
+    df = df.filter(F.col("flag_reason").isin(flags.R_CURT_FLAG, flags.R_CURT, flags.R_DERATED))
+    return out(df.select("turbine", "slot", "flag", "flag_reason"))
+
+
 def qc_environment(s, d):
     df = _nostatus(s, d).filter(F.col("flag_reason").isin(flags.R_HOT, flags.R_ICE))
     return out(df.select("turbine", "slot", "flag_reason"))
@@ -746,14 +804,15 @@ def kpi_summary(s, d):
 
 
 SOURCES = (scan_scada, scan_column_map, multi_file_union, file_profile, file_overlap,
-           file_overlap_groups, file_overlaps_of, months_rewritten, input_extent, time_window_filter, warranted_curve, generic_curve, layout_scan, reference_daily,
+           file_overlap_groups, file_overlaps_of, months_rewritten,
+           scan_export_files, split_months, tables_written, reference_export, input_extent, time_window_filter, warranted_curve, generic_curve, layout_scan, reference_daily,
            wide_to_long, coerce_decimal_comma, parse_dayfirst, status_text_map, unit_scale,
            mw_autodetect, clean_ranges)
 SERIES = (resample_10min, sampling_interval, dedup_last_wins, time_spine, gap_fill_linear,
           gap_fill_circular, gap_stats, gap_fill_tiered, gap_fill_summary, wind_shear, daily_mean,
           air_density, density_correct_ws, curve_grid, expected_power, ct_lookup, energy_from_series,
           expected_energy)
-FLAGS = (qc_flags, qc_status_map, qc_sustained_low, qc_curtail_derate, qc_environment,
+FLAGS = (qc_flags, qc_status_map, qc_sustained_low, qc_curtail_derate, qc_curtail_flag, qc_environment,
          qc_frozen_anemometer, impute_anemometer, bad_anemometers, flag_summary, coverage, qc_warnings)
 ENERGY = (energy_accounting, downtime_split, availability_turbine, availability_farm,
           availability_monthly, downtime_monthly, downtime_pivot, performance_monthly,
