@@ -22,7 +22,7 @@ def test_stages(spark):
 
 def test_sql(spark):
     con = duckdb.connect()
-    for name in ("embeddings", "pages"):
+    for name in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
     for name, sql in queries.ORACLE.items():
         df = queries.QUERIES[name](spark, SMALL)
