@@ -114,3 +114,18 @@ def test_stream_gives_the_batch_slots(spark, tmp_path):
     want = {(r["turbine"], r["slot"]): r["ws"] for r in ts.resample_10min(src).collect()}
     assert got and all(abs(want[k] - v) < 1e-9 for k, v in got.items())
     assert src.select(slot_of("timestamp").alias("s")).distinct().count() * 2 == len(want)
+
+
+def test_daily_results_dont_wait_for_the_flagged_table(spark, monkeypatch):
+    from windrow.plans import catalog
+
+    def fail(*_):
+        raise AssertionError("asked for the flagged table")
+
+    tb.forget_landed()
+    monkeypatch.setattr(tb, "flagged", fail)
+    try:
+        for name in ("lt_series", "lt_daily_energy", "lt_monthly_energy", "lt_normalised_month", "monthly_gross"):
+            catalog.QUERIES[name](spark, SF).count()
+    finally:
+        tb.forget_landed()
