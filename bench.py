@@ -17,8 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession, functions as F
 
-from windrow.functions.rows import land
-from windrow.operators.flags import flag_blocks, flag_records
+from windrow.operators.flags import flag_blocks, land_flagged
 from windrow.operators.timeseries import resample_10min
 from windrow.plans import catalog, testbed as tb
 
@@ -60,7 +59,7 @@ def main() -> None:
     start = time.time()
     raw = repeated(tb.scada(spark, SF_DIR), COPIES)
     blocks = flag_blocks(resample_10min(raw), tb.PARAMS)
-    flagged = land(flag_records(blocks, tb.grid(spark), tb.PARAMS), "flagged", "month")
+    flagged = land_flagged(blocks, tb.grid(spark), tb.PARAMS, "flagged", "month")
     times["records_to_flagged"] = time.time() - start
     rows = tb.table(spark, SF_DIR, "lineitem").count() * COPIES
     tb._landed[(spark.sparkContext.applicationId, "flagged", SF_DIR)] = flagged

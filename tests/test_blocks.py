@@ -134,3 +134,28 @@ def test_a_record_of_2099(spark):
     df = ts.time_spine(spark.createDataFrame(rows, "turbine string, slot bigint"))
     n = df.groupBy().agg({"present": "sum", "slot": "count"}).first()
     assert n["sum(present)"] == 13 and n["count(slot)"] == 24 * 6 * (47450 - 9000) + 1
+
+
+def test_long_gaps_are_not_landed(spark, monkeypatch):
+    from windrow.functions import rows as helpers
+    from windrow.operators import flags
+    from windrow.plans import testbed as tb
+    # months apart, over the year's end and before 1970; one turbine too short to be filled
+    spans = [("A", -9000), ("A", 52_500), ("A", 90_000), ("B", 52_560), ("B", 52_610)]
+    data = [(t, s + i, 500.0 + i, 8.0 + i % 3, 100.0 + i, None if i % 5 else 90.0, 10.0, 100 + i % 2, None)
+            for t, s in spans for i in range(0, 12, 2)] + [("C", 10, 1.0, 8.0, 1.0, 1.0, 1.0, 100, None), ("C", 9000, 1.0, 8.0, 1.0, 1.0, 1.0, 100, None)]
+    df = spark.createDataFrame(data, "turbine string, slot bigint, power_kw double, ws double, dir_deg double,"
+                               " wind_dir_deg double, temp_c double, status int, curt_flag int")
+    monkeypatch.setattr(helpers, "ROWS_OF_TASK", 8)
+    blocks = flags.flag_blocks(df, tb.PARAMS, most=len(data))
+    assert blocks.parts == max(helpers.buckets_of(spark), 4)
+    want = flags.flag_records(df, tb.grid(spark), tb.PARAMS)
+    for by in (None, "month"):
+        got = flags.land_flagged(blocks, tb.grid(spark), tb.PARAMS, "flagged", by)
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert got.count() == want.count() > 90_000
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        near = flags.flag_records(blocks, tb.grid(spark), tb.PARAMS, far=False)
+        assert near.count() < 500
+        plan = got.filter("flag = 0 and ws is not null")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan
