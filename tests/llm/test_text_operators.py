@@ -320,6 +320,18 @@ def test_toxicity_knows_words_by_themselves(spark):
         assert m.score("") == m.score(None)
 
 
+def test_toxicity_counts_every_labelled_row(spark, monkeypatch):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.expr(
+        "concat('common words ', if(id % 2 = 1, 'vile', 'kind'), ' here')").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    seen, plain = [], toxicity.pair_counts
+    monkeypatch.setattr(toxicity, "pair_counts", lambda rows: (seen.append(rows.count()), plain(rows))[1])
+    model = toxicity.fit(docs, labels)
+    known = with_labels(docs, labels, "toxic").where("y is not null")
+    assert seen == [known.where(F.pmod(F.xxhash64("hash"), F.lit(toxicity.ASIDE)) != 0).count()]
+    assert model.score("common words vile here") > 0.9 and model.score("common words kind here") < 0.1
+
+
 def test_toxicity_of_an_expression_of_ordinary_words(spark):
     """Words as common in both classes; only their order tells."""
     rows, labels = [], []
