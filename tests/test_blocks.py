@@ -159,3 +159,29 @@ def test_long_gaps_are_not_landed(spark, monkeypatch):
         assert near.count() < 500
         plan = got.filter("flag = 0 and ws is not null")._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan
+
+
+def test_sums_take_long_gaps_without_making_their_rows(spark):
+    from windrow.operators import energy, flags
+    from windrow.plans import testbed as tb
+    # a gap over months, one from before 1970 and a short one
+    data = [(t, s + i, 500.0 + i, 8.0 + i % 3, 100.0, 90.0, 10.0, 100 + i % 2, None)
+            for t, s in (("A", -9000), ("A", 52_500), ("A", 90_000), ("B", 52_560), ("B", 52_610)) for i in range(0, 12, 2)]
+    df = spark.createDataFrame(data, "turbine string, slot bigint, power_kw double, ws double, dir_deg double,"
+                               " wind_dir_deg double, temp_c double, status int, curt_flag int")
+    landed = flags.land_counted(flags.flag_blocks(df, tb.PARAMS), tb.grid(spark), tb.PARAMS, "flagged")
+    want, got = energy.energy_base(landed.rows), energy.energy_base(landed.counted)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert landed.rows.count() > 90_000 > 20_000 > landed.counted.count()
+
+
+def test_block_rules_sort_once_and_gap_filling_once_more(spark):
+    from windrow.operators import flags
+    from windrow.plans import testbed as tb
+    blocks = flags.flag_blocks(tb.resampled(spark, "/root/testdata/sf0.001"), tb.PARAMS)
+    df = ts.fill_gaps(flags.record_rules(blocks, tb.grid(spark), tb.PARAMS), tb.PARAMS.max_gap_slots, far=False)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("slot#") and sum("Sort [" in x and "slot#" in x for x in plan.splitlines()) == 2
+    rules = [x for x in plan.splitlines() if "Window [" in x and "stddev_samp" in x]
+    assert len(rules) == 1 and "lv_ws" not in rules[0]
