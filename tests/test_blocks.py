@@ -185,3 +185,12 @@ def test_block_rules_sort_once_and_gap_filling_once_more(spark):
     assert plan.count("slot#") and sum("Sort [" in x and "slot#" in x for x in plan.splitlines()) == 2
     rules = [x for x in plan.splitlines() if "Window [" in x and "stddev_samp" in x]
     assert len(rules) == 1 and "lv_ws" not in rules[0]
+
+
+def test_turbines_of_the_layout_are_found_without_the_rows_of_gaps(spark):
+    from windrow.plans import testbed as tb
+    sf = "/root/testdata/sf0.001"
+    df = tb.layout(spark, sf)
+    # near rows, spans by their number, and spans of several months, as only occur before 1970
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3
+    assert {r.turbine for r in df.collect()} == {r.turbine for r in tb.flagged(spark, sf).select("turbine").distinct().collect()}
