@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from windrow.operators import timeseries as ts
 from windrow.operators.blocks import block_context, brackets, with_history
 
@@ -194,3 +196,27 @@ def test_turbines_of_the_layout_are_found_without_the_rows_of_gaps(spark):
     # near rows, spans by their number, and spans of several months, as only occur before 1970
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3
     assert {r.turbine for r in df.collect()} == {r.turbine for r in tb.flagged(spark, sf).select("turbine").distinct().collect()}
+
+
+def test_records_are_added_up_in_the_blocks_they_are_landed_in(spark, monkeypatch):
+    import re
+
+    from windrow.functions import rows as helpers
+    from windrow.operators import flags
+    from windrow.plans import testbed as tb
+    # two records of a slot, a slot without power and wind, no turbine, no time
+    data = [(t, f"2024-0{m}-01 00:{10 * k + j:02d}:00", float(k + j), 8.0, 1.0, 2.0, None, 100 + j if k else None, j)
+            for t in ("A", "B", None) for m in (1, 2, 3, 5) for k in range(3) for j in (0, 7)]
+    data += [("A", "2024-01-01 03:00:00", None, None, 1.0, 1.0, 1.0, 100, None), ("B", None, 1.0, 8.0, 1.0, 1.0, 1.0, 100, None)]
+    df = spark.createDataFrame(data, "turbine string, timestamp string, power_kw double, ws double, dir_deg double, wind_dir_deg"
+                               " double, temp_c double, status int, curt_flag int").withColumn("timestamp", F.expr("cast(timestamp as timestamp_ntz)"))
+    monkeypatch.setattr(helpers, "ROWS_OF_TASK", 4)
+    parts = helpers.buckets_of(spark, len(data))
+    assert parts > helpers.buckets_of(spark)
+    want = ts.resample_10min(df).filter("turbine is not null")
+    got = ts.resample_spread(df, parts)
+    assert sorted(map(str, got.drop("block").collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange \w+\(.*?, (\d+)\)", plan) == [str(parts)]
+    blocks = flags.record_blocks(df, tb.PARAMS)
+    assert blocks.parts == parts and blocks.rows.exceptAll(got).isEmpty() and got.exceptAll(blocks.rows).isEmpty()
