@@ -6,13 +6,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from windrow.llm import bpe, fingerprint, mixing, near_join, quality, substring, token_count, topk, toxicity, url_filter
-from windrow.llm.common import Landing
+from windrow.llm.common import Landing, ship
 from windrow.llm.training import with_labels
 
 RND = random.Random(5)
@@ -443,3 +444,31 @@ def test_token_count_of_parts_as_of_whole_texts():
         text = "".join(r.choice(["a", "th", "é", "漢", " ", " ", "  ", "▁", "\n", "\t", ".", "e r", "\u3000"])
                        for _ in range(r.randint(0, 20)))
         assert counter.count(text) == len(library.encode(text))
+
+
+def test_places_move_in_three_columns_and_come_back_whole(spark, monkeypatch):
+    monkeypatch.setattr(substring, "OFTEN", 12)
+    monkeypatch.setattr(substring, "SEEN", 1)
+    shared = prose(30, 3)
+    texts = [(i, " ".join([f"a{i}-{j}" for j in range(9)] + shared * (1 + i % 2))) for i in range(-3, 10)]
+    texts.append((2, " ".join(["z", *shared])))  # an id of two rows
+    df = spark.createDataFrame(texts, "doc long, text string")
+    ship(spark)
+    places = {}
+    for h, doc, at, span in substring.seed_keys(pa.RecordBatch.from_pydict({"doc": [t[0] for t in texts], "text": [t[1] for t in texts]})):
+        for key, *place in zip(h.tolist(), doc.tolist(), at.tolist(), span.tolist()):
+            places.setdefault(key, set()).add(tuple(place))
+    want = set()
+    for own in places.values():
+        own = sorted(own)
+        for p in own:
+            if own[0][0] < own[-1][0]:
+                want.add((p, own[0], max((q for q in own if q[0] < p[0]), default=None)))
+    for often in (1, 1 << 18):  # of 1, a key would need as many places as there are seeds
+        monkeypatch.setattr(substring, "FREQUENT", often)
+        found = substring.partners(df, substring.seed_keys, Landing(spark, "places"), f"seeds-{often}")
+        got = {((r.doc, r.a, r.span), tuple(r.first), r.previous and tuple(r.previous)) for r in found.collect()}
+        assert got == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        made = [x for x in plan.splitlines() if "MapInArrow" in x]
+        assert len(made) == 1 and made[0].rsplit("[", 1)[1].count("#") == 3
