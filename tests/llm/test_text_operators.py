@@ -472,3 +472,30 @@ def test_places_move_in_three_columns_and_come_back_whole(spark, monkeypatch):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         made = [x for x in plan.splitlines() if "MapInArrow" in x]
         assert len(made) == 1 and made[0].rsplit("[", 1)[1].count("#") == 3
+
+
+def test_seeds_of_several_texts_at_once_are_those_of_each(monkeypatch):
+    r = random.Random(9)
+    texts = [" ".join(r.choice("abc") for _ in range(n)) for n in [*range(0, 32), 400, 15, 16, 90]] + [None, " ".join(prose(70, 4))]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "text": texts})
+    want = set()
+    for doc, text in enumerate(texts):
+        h = substring.word_hashes(substring.words(text))
+        if len(h) < substring.SEED:
+            continue
+        g = substring.shingle_hashes(h, substring.SEED).tolist()
+        for i in range(max(1, len(g) - substring.WINDOW + 1)):
+            at = min(range(i, min(i + substring.WINDOW, len(g))), key=lambda j: (g[j], j))
+            want.add((g[at], doc, at, 0))
+        runs = substring.shingle_hashes(h, substring.LEAST)
+        for i in range(len(runs) - substring.LEAST):
+            near = min(range(i + substring.LEAST, min(i + substring.LEAST + substring.REACH, len(runs))),
+                       key=lambda j: (int(runs[i] ^ runs[j]), j))
+            pair = substring.mixed(runs[i:i + 1] * np.uint64(0x9E3779B97F4A7C15) + runs[near] + np.uint64(substring.LEAST))
+            want.add((int(pair[0]), doc, i, near - i))
+    for words, groups in ((1 << 16, 1), (100, 11)):
+        monkeypatch.setattr(substring, "TOGETHER", words)
+        parts = list(substring.seed_keys(batch))
+        assert len(parts) <= groups  # not a part for each text
+        got = [row for part in parts for row in zip(*(x.tolist() for x in part))]
+        assert len(got) == len(set(got)) and set(got) == want
