@@ -333,6 +333,32 @@ def test_toxicity_counts_every_labelled_row(spark, monkeypatch):
     assert model.score("common words vile here") > 0.9 and model.score("common words kind here") < 0.1
 
 
+def test_toxicity_discounts_do_not_grow_with_the_rows(spark):
+    """Six documents among 25,600 counted ones are enough for an expression, as they are among few."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.expr(
+        "concat('common words ', if(id % 2 = 1, 'vile', 'kind'), ' here')").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    counted = [r.doc_id for r in docs.where("doc_id % 2 = 1 and pmod(xxhash64(xxhash64(doc_id)), 5) <> 0").where(
+        F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy("doc_id").limit(6).collect()]
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(counted), F.concat("text", F.lit(" rare deed"))).otherwise(F.col("text")))
+    model = toxicity.fit(docs, labels)
+    key = toxicity.pair_hash(*[np.array([toxicity.word_id(w)], np.uint64) for w in ("rare", "deed")])
+    assert toxicity.found_in(*model.pairs, key)[1].all()
+
+
+def test_toxicity_of_a_model_too_large_to_broadcast(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    docs = docs.unionByName(docs.limit(5)).withColumn("score", F.lit("clash"))
+    got = toxicity.score(docs, toxicity.fit(docs, labels))
+    monkeypatch.setattr(toxicity, "MOST", 0)
+    model = toxicity.fit(docs, labels)
+    other = toxicity.score(docs, model)
+    assert isinstance(model, toxicity.Landed) and other.columns == got.columns == docs.columns
+    one, two = (sorted((r.doc_id is None, r.doc_id, r.text or "", r.score) for r in df.collect()) for df in (got, other))
+    assert [r[:3] for r in one] == [r[:3] for r in two]
+    assert np.allclose([r[3] for r in one], [r[3] for r in two], rtol=1e-9) and len({r[3] for r in one}) > 100
+
+
 def test_toxicity_of_an_expression_of_ordinary_words(spark):
     """Words as common in both classes; only their order tells."""
     rows, labels = [], []
