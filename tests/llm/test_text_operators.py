@@ -433,6 +433,17 @@ def test_mixture_meets_targets(spark):
     assert mixing.rates(docs.where("false"), labels).count() == 0
 
 
+def test_mixture_learns_from_every_labelled_row(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.expr(
+        "if(id % 500 = 7, 'rare words here', 'common words here')").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 500 == 7).cast("int").alias("toxic"))
+    logs, priors = mixing.classifier(docs, labels)
+    learnt = [i for i in range(30_000) if zlib.crc32(str(i).encode()) % 5]
+    toxic = sum(i % 500 == 7 for i in learnt)
+    assert np.allclose(priors, [(len(learnt) - toxic + 1) / (len(learnt) + 3), 1 / (len(learnt) + 3), (toxic + 1) / (len(learnt) + 3)])
+    assert logs.count() == mixing.WORDS + mixing.SHAPES
+
+
 def test_mixture_of_weakly_separated_domains(spark):
     r = np.random.default_rng(8)
     p = r.dirichlet([8.4, 1.5, 0.1], 2000) * 0.3 + np.array([0.84, 0.15, 0.01]) * 0.7

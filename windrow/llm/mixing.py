@@ -11,7 +11,7 @@
   from their targets is logged.
 * Copies: a rate's whole part, and one more with the probability of the rest, decided by a hash of the id and text.
 
-The classifier learns from about LEARNT labelled rows; scoring and sums cover all documents and whole texts. Words are
+The classifier learns from all labelled rows but those held out; scoring and sums cover all documents and whole texts. Words are
 runs between ASCII white space. Null and empty texts have no tokens and the classes' prior as posterior; they weigh
 nothing. A domain that no document can belong to is left unmet. Without labelled rows all posteriors are equal. Rows
 with the same id and text get the same rate, and copies each. A null id counts as an id. Other columns are ignored by
@@ -30,7 +30,6 @@ log = logging.getLogger(__name__)
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.95, "low": 0.04, "toxic": 0.01}
 WORDS, SHAPES = 4096, 512
-LEARNT = 20_000
 EVIDENCE = 40.0
 SMOOTH = 2000.0  # terms of the common distribution added to each domain
 PULL = 1e-3
@@ -54,14 +53,13 @@ def classifier(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[floa
     domain = F.when(F.max("toxic") == 1, 2).when(F.min("quality") == 0, 1).otherwise(0)
     known = (labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(domain.alias("domain")))
-    n = known.count()
-    share = min(1.0, LEARNT / max(1, n))
-    learnt = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.join(F.broadcast(learnt) if n <= FEW else learnt, "doc_id").select("domain", "text")
+    few = known.limit(FEW + 1).count() <= FEW
+    rows = docs.join(F.broadcast(known) if few else known, "doc_id").select("domain", "text")
     sizes = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
     counts = terms(rows, "domain").groupBy("term").agg(
         *[F.count(F.when(F.col("domain") == i, 1)).cast("double").alias(d) for i, d in enumerate(DOMAINS)],
         F.count("*").cast("double").alias("every"))
+    counts = Landing(docs.sparkSession, "classifier").land(counts, "counts")
     every = F.broadcast(docs.sparkSession.range(WORDS + SHAPES).withColumnRenamed("id", "term"))
     held = counts.join(every, "term", "right").na.fill(0.0)
     totals = counts.agg(*[F.sum(c).alias(c) for c in (*DOMAINS, "every")]).first()
