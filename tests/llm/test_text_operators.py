@@ -277,6 +277,26 @@ def test_chains_take_the_best_order():
     assert substring.chains(a, b)[:2] == [[0, 1, 3], [4, 5]]
 
 
+def test_near_shingles_that_few_documents_of_a_task_have_are_frequent(spark, monkeypatch):
+    """Otherwise the lists of the join grow with the table."""
+    rows = [(i, " ".join(prose(30, 9000 + i) + (["four", "words", "in", "many"] if i < 40 else []) + (
+        ["others", "met", "less", "often"] if i < 12 else []))) for i in range(60)]
+    rows += [(i, " ".join(prose(600, 9500 + i // 6))) for i in range(100, 130)]  # long ones, in equal sixes
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(8)
+    rule = near_join.Rule(4, 85, 100)
+
+    def short(text):
+        return near_join.shortened(near_join.shingles(text, 4))
+
+    found = near_join.frequent(docs, rule)
+    assert np.isin(short("four words in many"), found).all() and np.isin(short("others met less often"), found).all()
+    long = near_join.shingles(rows[-1][1], 4)
+    assert np.isin(near_join.shortened(long[near_join.counted(long)]), found).all()
+    assert not np.isin(short(" ".join(prose(30, 9059))), found).any()
+    monkeypatch.setattr(near_join, "HEAVY", 1)
+    assert near_join.frequent(docs, rule).tolist() == short("four words in many").tolist()
+
+
 def labelled(spark):
     """600 texts; every third toxic or of low quality by its words."""
     rows, labels = [], []
