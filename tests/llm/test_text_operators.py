@@ -277,6 +277,17 @@ def test_chains_take_the_best_order():
     assert substring.chains(a, b)[:2] == [[0, 1, 3], [4, 5]]
 
 
+def test_a_text_is_cut_into_words_once_for_all_its_chains(spark):
+    rows = spark.createDataFrame([(1, " ".join(prose(60, 1))), (2, " ".join(prose(60, 1)))], "doc long, text string")
+    found = spark.createDataFrame([(2, 1, [0, 30], [0, 30]), (2, 1, [20, 57], [20, 57])],
+                                  "doc long, ref long, a array<long>, b array<long>")
+    made = substring.aligned(found, rows, 45, 0.8)
+    lines = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    cut = [i for i, line in enumerate(lines) if "regexp_extract_all" in line]
+    assert cut and not any("Join Inner" in lines[i + 1] for i in cut)
+    assert {tuple(r)[:7] for r in made.collect()} == {(2, 0, 60, 1, 0, 60, 60)}
+
+
 def test_near_shingles_that_few_documents_of_a_task_have_are_frequent(spark, monkeypatch):
     """Otherwise the lists of the join grow with the table."""
     rows = [(i, " ".join(prose(30, 9000 + i) + (["four", "words", "in", "many"] if i < 40 else []) + (
